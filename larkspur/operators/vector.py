@@ -36,6 +36,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", vec
     bounded size; vectors stay where they are. Null vectors and vectors of another width are no neighbours.
     """
     spark = vectors.sparkSession
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    q_type = to_arrow_type(queries.schema[query].dataType)
     kind, q_kind = vectors.schema[id_].dataType.simpleString(), queries.schema[query].dataType.simpleString()
     own = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     asked = queries.select(F.col(query).alias("query_id"), F.col(query_vector).alias("v")).filter("v IS NOT NULL")
@@ -63,7 +66,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_: str = "id", vec
                     best = place[np.argsort(d[:, place], axis=1, kind="stable")[:, :k]]
                     rows_of = np.repeat(np.arange(len(which)), best.shape[1])
                     cols = best.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array([names[which[i]] for i in rows_of]), ids.take(pa.array(here[cols])), pa.array(d[rows_of, cols])], ["query_id", "id", "distance"])
+                    yield pa.RecordBatch.from_arrays([pa.array([names[which[i]] for i in rows_of], q_type), ids.take(pa.array(here[cols])), pa.array(d[rows_of, cols])], ["query_id", "id", "distance"])
 
         part = own.mapInArrow(run, f"query_id {q_kind}, id {kind}, distance double")
         found = part if found is None else found.union(part)
