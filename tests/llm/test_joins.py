@@ -83,6 +83,18 @@ def test_cropped_and_edited_copies(spark):
         assert set(got) == {(0, 0), (0, 1), (0, 2), (0, 8), (3, 3)} and got[0, 0].copies == 2
         assert abs(abs(got[0, 8].degrees) - 90) < 15
     assert image_copies.find_copies(df.limit(0), df.select("image_id").limit(0)).count() == 0
+    for block in (2000, 1):
+        more = df.union(spark.createDataFrame([(None, pgm(b), 1)], df.schema))
+        pairs = image_copies.find_copies(df, df.filter("image_id % 3 = 0").select("image_id"), block=block).collect()
+        got = image_copies.copy_classes(more, df.filter("image_id % 3 = 0").select("image_id"), block=block).collect()
+        assert len(got) == 11 and {r.image_id: r.class_id for r in got} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0, 5: 5, 6: 6, 7: 7, 8: 0, 9: 9, None: None}
+        first = {0: 0, 4: 0}  # images of equal bytes count as one
+        links = {r.copy_id: 0 for r in pairs}
+        for r in pairs:
+            links[r.copy_id] += first.get(r.query_id, r.query_id) != r.copy_id
+        assert {r.image_id: r.n_links for r in got if r.n_links} == {i: links[first.get(i, i)] for i in range(10) if links.get(first.get(i, i))}
+        assert all((r.query_id is None) == (r.n_links == 0) for r in got)
+    assert image_copies.copy_classes(df.limit(0), df.select("image_id").limit(0)).count() == 0
 
 
 def test_png_is_read():
