@@ -107,8 +107,8 @@ def evolve(population: list[Packing], demand: dict[int, int], size: int, seed: i
     """One island's generations; its best packings, best first."""
     rng = random.Random(seed)
     pool = sorted(population, key=lambda p: cost(p, size))
-    for _ in range(generations):
-        if cost(pool[0], size)[0] <= least:
+    for g in range(generations):
+        if g and cost(pool[0], size)[0] <= least:
             break
         a, b = rng.choice(pool[: max(2, len(pool) // 2)]), rng.choice(pool)
         pool = sorted([*pool, crossover(a, b, demand, size, rng)], key=lambda p: cost(p, size))[:6]
@@ -116,14 +116,14 @@ def evolve(population: list[Packing], demand: dict[int, int], size: int, seed: i
 
 
 def pack_lengths(spark: SparkSession, demand: dict[int, int], size: int = SIZE, islands: int = 4, rounds: int = 2, generations: int = 6, seed: int = 7) -> Packing:
-    """demand: how many pieces have each length. Stops as soon as no packing could have fewer sequences."""
+    """demand: how many pieces have each length. Stops after the first round in which no packing could have fewer sequences."""
     first = best_fit(demand, size)
     total = sum(k * n for k, n in demand.items())
     # a piece over half the size shares no sequence with another such piece
     least = max(-(-total // size), sum(n for k, n in demand.items() if 2 * k > size))
     elite = [first]
     for r in range(rounds):
-        if not demand or cost(elite[0], size)[0] <= least:
+        if not demand or (r and cost(elite[0], size)[0] <= least):
             break
         pool = list(elite)
 
