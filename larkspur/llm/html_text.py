@@ -4,7 +4,8 @@ Pages of a host are ordered by URL path, so that a page's neighbour there is the
 lines of both are aligned by their longest common subsequence, and lines that both have are deleted as furniture of
 the site. Two exact checks on the markup follow. A shared line inside the page's article stays, since two articles may
 quote the same passage; a line inside a menu, header, footer, sidebar, notice, advert, form or reader comment goes,
-shared or not. A page without an article or main element is judged by the differencing and those regions alone.
+shared or not. So where a page has an article or main element the markup decides alone, and the differencing decides
+for pages without one: on pages whose menus and adverts differ from one to the next, shared lines tell little.
 
 Pages are dealt out by ranges of (host, path), so that a host with a third of all pages is spread over tasks; a page at
 the edge of a range is compared with its one neighbour there.
