@@ -119,7 +119,10 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent:
 
 
 def _lists(entries: DataFrame) -> DataFrame:
-    """The entries of lists of two or more, with the head of their list. A list streams through; only its last entry is held."""
+    """The entries of lists of two or more, with the head of their list. A list streams through; only its last entry is held.
+
+    A salted entry stays even if it is alone, as its own head: its company may be under other salts.
+    """
     kind = entries.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +138,7 @@ def _lists(entries: DataFrame) -> DataFrame:
             new = np.ones(n, bool)
             new[1:] = (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1])
             start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            alone = new & np.append(new[1:], False)
+            alone = new & np.append(new[1:], False) & (salt == 0)
             if told:
                 alone[0] = False
             out = ~alone
@@ -155,7 +158,7 @@ def _lists(entries: DataFrame) -> DataFrame:
                 head = (batch.column(2)[first].as_py(), int(batch.column(3)[first].as_py()))
             told = first < n - 1 or (first == 0 and told)
             held = batch.slice(n - 1, 1)
-        if held is not None and told:
+        if held is not None and (told or held.column(1)[0].as_py()):
             yield pa.RecordBatch.from_arrays([*held.columns, pa.array([head[0]], held.column(2).type), pa.array([head[1]], pa.int32())], [*names, "head", "head_n"])
 
     ordered = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "pos", "id")

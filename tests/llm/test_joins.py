@@ -51,6 +51,17 @@ def test_components_are_brute_force(spark, seed, frequent, long):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(texts) and len(got) == len(texts)
 
 
+def test_near_copies_meet_across_salts(spark):
+    texts = []
+    for k in range(8):
+        base = [f"f{k}w{i}" for i in range(60)]
+        copies = [" ".join(base)] * 40  # of more copies than long_list, so that all of the prefix is salted
+        texts += [(100 * k + i, t) for i, t in enumerate([*copies, " ".join([*base[:30], "other", *base[31:]])])]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(df, long_list=4).collect()}
+    assert got == {i: i // 100 * 100 for i, _ in texts}
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     text = "one two three four five six"
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, None), (3, "else")], "doc_id long, text string")
