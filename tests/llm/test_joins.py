@@ -108,6 +108,15 @@ def test_cropped_and_edited_copies(spark):
     assert image_copies.copy_classes(df.limit(0), df.select("image_id").limit(0)).count() == 0
 
 
+def test_query_finds_copies_among_any_ids(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    a, b, c = (rng.normal(0, 1, 64).tolist() for _ in range(3))
+    rows = [(1, a), (7, a), (13, a), (100, b), (101, b), (150, c)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.image_id: (r.class_id, r.n_links) for r in image_copies.op4_image_copies(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 2), 7: (1, 2), 13: (1, 2), 100: (100, 1), 101: (100, 1), 150: (150, 0)}
+
+
 def test_png_is_read():
     import struct
     import zlib
