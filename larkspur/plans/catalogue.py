@@ -348,6 +348,18 @@ def batch_packing(spark, sf_dir):
     return index.packed(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", ["doc_id"], most_tokens=8000, most_items=16).drop("text")
 
 
+@query(
+    "batch_packing_whole",
+    f"""WITH RECURSIVE d AS (SELECT source, doc_id, length(left(text, {2 * index.BATCH_TOKENS})) // 2 AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+s AS (SELECT source, doc_id, tokens, rn, 0::BIGINT AS batch, tokens AS used, 1 AS items FROM d WHERE rn = 1
+ UNION ALL SELECT d.source, d.doc_id, d.tokens, d.rn, CASE WHEN s.used + d.tokens > {index.BATCH_TOKENS} OR s.items >= {index.BATCH_ITEMS} THEN s.batch + 1 ELSE s.batch END, CASE WHEN s.used + d.tokens > {index.BATCH_TOKENS} OR s.items >= {index.BATCH_ITEMS} THEN d.tokens ELSE s.used + d.tokens END, CASE WHEN s.used + d.tokens > {index.BATCH_TOKENS} OR s.items >= {index.BATCH_ITEMS} THEN 1 ELSE s.items + 1 END FROM s JOIN d ON d.source = s.source AND d.rn = s.rn + 1)
+SELECT source, doc_id, tokens::BIGINT AS tokens, batch FROM s""",
+)
+def batch_packing_whole(spark, sf_dir):
+    """batch_packing with the operator's own limits, at which no text of up to 160,000 characters is cut."""
+    return index.packed(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", ["doc_id"]).drop("text")
+
+
 @query(
     "token_ema",
     """WITH RECURSIVE b AS (SELECT source, n_chars AS chars, n_chars // 3 AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),

@@ -35,3 +35,9 @@ def test_entry_has_rows(spark):
 
 def test_every_query_but_the_bootstrap_has_sql():
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"bootstrap_ci"}
+
+
+def test_whole_packing_does_not_cut_long_texts(spark, tmp_path):
+    spark.createDataFrame([("s", 1, "x" * 40_000), ("s", 2, "y" * 100), ("s", 3, "z" * 130_000)], "source string, doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.queries()["batch_packing_whole"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.tokens, r.batch) for r in got) == [(1, 20_000, 0), (2, 50, 0), (3, 65_000, 1)]
