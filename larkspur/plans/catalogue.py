@@ -420,6 +420,15 @@ def drift_semantic(spark, sf_dir):
     return drift.semantic_candidates(claims, known, 0.4)
 
 
+@query("drift_semantic_whole", f"WITH {knn_sql(1, 'cosine', 'SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0', 'vec_id % 100 <> 0')} SELECT query_id AS claim_id, id AS chain_key, round(1 - distance, 4) AS similarity FROM near WHERE 1 - distance >= {drift.SIMILAR}")
+def drift_semantic_whole(spark, sf_dir):
+    """drift_semantic over facts of all labels at the operator's own threshold: every vector is either a claim or a fact."""
+    v = table(spark, sf_dir, "embeddings")
+    known = v.filter("vec_id % 100 <> 0").select(F.col("vec_id").alias("chain_key"), "embedding")
+    claims = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("claim_id"), F.col("vec_id").alias("chain_key"), "embedding")
+    return drift.semantic_candidates(claims, known)
+
+
 @query("user_messages", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
 def user_messages(spark, sf_dir):
     return drift.user_messages(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "text")

@@ -41,3 +41,10 @@ def test_whole_packing_does_not_cut_long_texts(spark, tmp_path):
     spark.createDataFrame([("s", 1, "x" * 40_000), ("s", 2, "y" * 100), ("s", 3, "z" * 130_000)], "source string, doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = catalogue.queries()["batch_packing_whole"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.tokens, r.batch) for r in got) == [(1, 20_000, 0), (2, 50, 0), (3, 65_000, 1)]
+
+
+def test_whole_drift_has_facts_of_every_label(spark, tmp_path):
+    rows = [(100, 0, [1.0, 0.0, 0.0]), (1, 0, [1.0, 0.1, 0.0]), (2, 7, [1.0, 0.5, 0.0]), (200, 3, [0.0, 0.0, 1.0]), (3, 4, [0.0, 1.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = catalogue.queries()["drift_semantic_whole"](spark, str(tmp_path)).collect()
+    assert [(r.claim_id, r.chain_key, r.similarity) for r in got] == [(100, 1, 0.995)]
