@@ -242,14 +242,14 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
 
 
 def keep_one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", **more) -> DataFrame:
-    """The rows of docs whose id is its component's; of rows that share that id, one, whichever Spark meets first. Null ids stay."""
-    found = settle(jaccard_components(docs, doc, text, **more), "components")
-    gone = found.filter(F.col("component_id") < F.col(doc)).select(doc)
-    kept = semi_by_id(docs, gone.distinct(), doc, doc, keep=False)
-    twice = found.groupBy(doc).count().filter(F.col("count") > 1)
-    if twice.isEmpty():
-        return kept
-    return kept.filter(F.col(doc).isNotNull()).dropDuplicates([doc]).union(kept.filter(F.col(doc).isNull()))
+    """One row of each component of rows: that of the smallest doc, null last. Repeated and null ids are rows like others."""
+    rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = settle(jaccard_components(rows, "__row", text, **more).select("__row", F.col("component_id").alias("of")), "components")
+    groups = found.join(found.filter("of <> __row").select("of").distinct(), "of", "left_semi")
+    named = groups.join(rows.select("__row", F.col(doc).alias("id")), "__row")
+    first = named.groupBy("of").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("first"))
+    gone = groups.join(first, "of").filter("__row <> first").select("__row")
+    return semi_by_id(rows, settle(gone, "gone"), "__row", "__row", keep=False).drop("__row")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,13 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert jaccard_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_is_kept(spark):
+    copied, clean, other = "one two three four five six", "an entirely clean text of its own", "and yet another one of no other's"
+    rows = [(5, copied), (5, clean), (2, copied), (None, other), (None, other), (None, copied), (7, clean + " x y z"), (7, "more words that none else has")]
+    kept = jaccard_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(2, copied), (5, clean), (0, other), (7, clean + " x y z"), (7, "more words that none else has")])
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 12)] + [(30, 20), (20, 30)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
