@@ -101,18 +101,37 @@ def test_cropped_and_edited_copies(spark):
         assert set(got) == {(0, 0), (0, 1), (0, 2), (0, 8), (3, 3)} and got[0, 0].copies == 2
         assert abs(abs(got[0, 8].degrees) - 90) < 15
     assert image_copies.find_copies(df.limit(0), df.select("image_id").limit(0)).count() == 0
-    for block in (2000, 1):
-        more = df.union(spark.createDataFrame([(None, pgm(b), 1)], df.schema))
-        pairs = image_copies.find_copies(df, df.filter("image_id % 3 = 0").select("image_id"), block=block).collect()
-        got = image_copies.copy_classes(more, df.filter("image_id % 3 = 0").select("image_id"), block=block).collect()
-        assert len(got) == 11 and {r.image_id: r.class_id for r in got} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0, 5: 5, 6: 6, 7: 7, 8: 0, 9: 9, None: None}
-        first = {0: 0, 4: 0}  # images of equal bytes count as one
-        links = {r.copy_id: 0 for r in pairs}
-        for r in pairs:
-            links[r.copy_id] += first.get(r.query_id, r.query_id) != r.copy_id
-        assert {r.image_id: r.n_links for r in got if r.n_links} == {i: links[first.get(i, i)] for i in range(10) if links.get(first.get(i, i))}
-        assert all((r.query_id is None) == (r.n_links == 0) for r in got)
-    assert image_copies.copy_classes(df.limit(0), df.select("image_id").limit(0)).count() == 0
+    more = df.union(spark.createDataFrame([(None, pgm(b), 1), (8, pgm(turned), 1)], df.schema))
+    got = image_copies.copy_classes(more).collect()
+    assert len(got) == 12 and {r.image_id: r.class_id for r in got} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0, 5: 5, 6: 6, 7: 7, 8: 0, 9: 9, None: None}
+    assert all(r.agreeing >= image_copies.AGREEING for r in got if r.match_id is not None) and {r.image_id for r in got if r.match_id is not None} >= {0, 1, 2, 8}
+    assert image_copies.copy_classes(df.limit(0)).count() == 0
+
+
+def compared(a, b):
+    """Whether two images are copies, with all their descriptors and without tables."""
+    (p, x), (q, y) = (image_copies.descriptors(i) for i in (a, b))
+    i, j = np.nonzero(np.bitwise_count(x[:, None] ^ y[None]).sum(axis=2) <= image_copies.DIFFERENT)
+    return len(i) >= image_copies.AGREEING and image_copies.agreeing(p[i], q[j])[0] >= image_copies.AGREEING
+
+
+def test_classes_are_those_of_all_pairs(spark):
+    rng, images = np.random.default_rng(12), []
+    for _ in range(14):
+        base = np.kron(rng.integers(20, 220, (18, 18)), np.ones((4, 4)))
+        for _ in range(rng.integers(1, 6)):
+            top, left = rng.integers(0, 12, 2)
+            images.append(np.clip(base[top : 72 - rng.integers(0, 6), left:] * rng.uniform(0.85, 1.1) + rng.integers(-8, 9) + rng.normal(0, 0.7, (1, 1)), 0, 255).astype(np.uint8))
+    got = {r.image_id: r.class_id for r in image_copies.copy_classes(spark.createDataFrame([(k, pgm(x)) for k, x in enumerate(images)], "image_id long, image binary").repartition(5)).collect()}
+    decoded = [image_copies.decode(pgm(x)) for x in images]
+    pairs = [(a, b, compared(decoded[a], decoded[b])) for a in range(len(images)) for b in range(a)]
+    linked = [(a, b) for a, b, yes in pairs if yes]
+    assert len(linked) > 20 and sum(got[a] == got[b] for a, b in linked) >= 0.95 * len(linked)
+    above = dict(enumerate(got))
+    for _ in images:
+        for a, b in linked:
+            above[a] = above[b] = min(above[a], above[b])
+    assert all(got[a] != got[b] or above[a] == above[b] for a, b, _ in pairs)
 
 
 def test_query_finds_copies_among_any_ids(spark, tmp_path):
@@ -120,8 +139,15 @@ def test_query_finds_copies_among_any_ids(spark, tmp_path):
     a, b, c = (rng.normal(0, 1, 64).tolist() for _ in range(3))
     rows = [(1, a), (7, a), (13, a), (100, b), (101, b), (150, c)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {r.image_id: (r.class_id, r.n_links) for r in image_copies.op4_image_copies(spark, str(tmp_path)).collect()}
-    assert got == {1: (1, 2), 7: (1, 2), 13: (1, 2), 100: (100, 1), 101: (100, 1), 150: (150, 0)}
+    got = {r.image_id: r.class_id for r in image_copies.op4_image_copies(spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 7: 1, 13: 1, 100: 100, 101: 100, 150: 150}
+
+
+def test_pnm_headers():
+    x = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    assert np.allclose(image_copies.decode(b"P5 # made\n4\n# by hand\n3 255\n" + x.tobytes()), x)
+    assert np.allclose(image_copies.decode(b"P5 4 3 65535\n" + (x.astype(">u2") * 257).tobytes()), x, atol=1e-3)
+    assert image_copies.decode(b"P5 4 3 255\nab") is None
 
 
 def test_png_is_read():
