@@ -227,6 +227,80 @@ def test_html(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<div class="layout with-sidebar"><article>text</article></div>', "text"),
+        ('<form id="aspnetForm"><nav>menu</nav><article>text</article></form>', "text"),
+        ("<article><p title='it's'>text</p><p>more</p></article>", "text\nmore"),
+        ("<article><!-->text</article>", "text"),
+        ('<article><p class="market-share">a</p><p class="search-results">b</p></article>', "a\nb"),
+        ("<article>Press <button>Go</button> to start.</article>", "Press to start."),
+        ('<article><p>x <span class="ad">buy</span> y</p><div class="cookie-bar">no</div></article>', "x y"),
+        ('<article>a</article><section class="comments"><article>b</article></section>', "a"),
+        ('<article a="b>c" d=e">x<p / e =f>y</article', "x\ny"),
+        ("<article>1 < 2 <3 </ > 4", "1 < 2 <3 4"),
+        ("<article><p>" + "long " * 200_000 + "</article>", ("long " * 200_000).strip()),
+        ("<article><br " + "x='" * 50_000, ""),
+    ],
+)
+def test_markup(page, want):
+    assert (html_text.main_text(html_text.blocks(page)) or "") == want
+
+
+def tags(page):
+    """Names and ends of tags, character by character, by the rules of the HTML standard."""
+    out, at, space = [], 0, " \t\n\f\r"
+    while (at := page.find("<", at)) >= 0:
+        k = at + 1 + page.startswith("</", at)
+        if not page[k : k + 1].isalpha():
+            at += 1
+            continue
+        start = k
+        while k < len(page) and page[k] not in space + "/>":
+            k += 1
+        name, state = page[start:k], "before"
+        while k < len(page) and not (page[k] == ">" and state in ("before", "name", "after", "equals", "plain")):
+            c = page[k]
+            if state in ('"', "'"):
+                state = "before" if c == state else state
+            elif state == "equals":
+                state = state if c in space else c if c in "\"'" else "plain"
+            elif state == "plain":
+                state = "before" if c in space else state
+            elif state in ("name", "after") and c == "=":
+                state = "equals"
+            elif c in space:
+                state = "after" if state in ("name", "after") else "before"
+            else:
+                state = "before" if c == "/" else "name"
+            k += 1
+        out.append((name, k))
+        at = k
+    return out
+
+
+def test_tags_end_where_the_standard_ends_them():
+    rng = random.Random(13)
+    for _ in range(20_000):
+        page = "".join(rng.choice(["<", "</", ">", "a", "b", "=", '"', "'", " ", "/", "\n", "<a "]) for _ in range(rng.randint(1, 25))) + "z"
+        got = [(m[2], m.end() - page[: m.end()].endswith(">")) for m in html_text._TOKEN.finditer(page) if m[2]]
+        if all(m[2] for m in html_text._TOKEN.finditer(page)):  # tags() has no comments, such as </ without a letter
+            assert got == tags(page), page
+
+
+def test_neighbours_decide_without_an_article(spark):
+    plain = lambda host, k: f"<body><div>Top of {host}</div><p>Own text {k}</p><p>End of {host}</p></body>"
+    rows = [(k, f"http://{h}/{k:03}" if h else None, plain(h, k)) for k in range(120) for h in [("a", "b", None)[k % 3]]]
+    rows += [(None, "http://a/000", None), (500, "http://c/", plain("c", 500)), (501, "no address", "x"), (7, "http://a/" + "y" * 5000, plain("a", 7))]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id not in (None, 500, 501):
+            assert r.text == f"Own text {r.page_id}", r
+    assert {r.page_id: r.text for r in got if r.page_id in (None, 500, 501)} == {None: "", 500: "Top of c\nOwn text 500\nEnd of c", 501: "x"}
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     rng = random.Random(11)
     for _ in range(500):
