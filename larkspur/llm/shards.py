@@ -4,9 +4,14 @@ Records are hashed into thousands of slots once and for all; bytes and rows are
 which shard holds each slot. Rebalancing edits the map and moves whole slots, never single records. The map and the
 sums have one row per slot, so that their size depends on the number of slots alone.
 
+A given map has to hold every slot once and shards below the asked number alone; another one is an error, as is writing a
+version that is there already: no record is ever left out for want of a slot.
+
 Edge cases: a null text has size 1 and the checksum of no bytes; records with equal id and text are one record to the
-hash and share a slot; a null id is hashed like any value, together with the text; an empty table gives an empty
-result and a map that deals slots out in turn; other columns are not read.
+hash and share a slot, so that the shards' bytes are near equal only if no record's copies weigh more than a shard's
+fair share; a null id is hashed like any value, together with the text; ties within a slot are ordered by id, checksum
+and size, and records equal in all three in any order; an empty table gives an empty result and a map that deals slots
+out in turn; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,13 +39,13 @@ def slot_sums(rows: DataFrame) -> DataFrame:
 
 
 def first_map(sums: dict[int, int], shards: int, slots: int = SLOTS) -> dict[int, int]:
-    """Heaviest slot first, each to the lightest shard so far."""
-    load = [(0, k) for k in range(shards)]
+    """Heaviest slot first, each to the lightest shard so far, of equal ones to that with fewest slots."""
+    load = [(0, 0, k) for k in range(shards)]
     out = {}
     for slot in sorted(range(slots), key=lambda s: (-sums.get(s, 0), s)):
-        have, k = heapq.heappop(load)
+        have, n, k = heapq.heappop(load)
         out[slot] = k
-        heapq.heappush(load, (have + sums.get(slot, 0), k))
+        heapq.heappush(load, (have + sums.get(slot, 0), n + 1, k))
     return out
 
 
@@ -93,9 +98,17 @@ class SlotMap:
         return self.spark.read.schema(MAP).parquet(self.path)
 
     def write(self, version: int, shard_of: dict[int, int]) -> None:
+        """A version that is there already is an error, as other jobs may have placed records by it."""
+        if self.exists() and not self.versions().filter(F.col("version") == version).isEmpty():
+            raise ValueError(f"{self.path}: version {version} is written already")
         rows = [(version, s, k) for s, k in sorted(shard_of.items())]
         self.spark.createDataFrame(rows, MAP).coalesce(1).write.mode("append").parquet(self.path)
 
+    def exists(self) -> bool:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.exists(place) and len(fs.listStatus(place)) > 0
+
     def latest(self) -> tuple[int, dict[int, int]]:
         rows = self.versions().collect()  # one row for each slot and version
         version = max(r["version"] for r in rows)
@@ -123,25 +136,35 @@ def place(rows: DataFrame, sums: list, shard_of: dict[int, int], doc: str = "doc
     placed = spark.createDataFrame([(s, k, start[s]) for s, k in shard_of.items()], "virtual_slot int, shard int, start long")
     order = Window.partitionBy("virtual_slot").orderBy(doc, "text_crc32", "size")
     numbered = rows.withColumn("__n", F.row_number().over(order))
-    return numbered.join(F.broadcast(placed), "virtual_slot").withColumn("slot", (F.col("start") + F.col("__n") - 1).cast("long")).drop("__n", "start")
+    joined = numbered.join(F.broadcast(placed), "virtual_slot", "left")
+    sure = F.when(F.col("start").isNull(), F.raise_error(F.lit("a record's slot isn't in the map"))).otherwise(F.col("start"))
+    return joined.withColumn("slot", (sure + F.col("__n") - 1).cast("long")).drop("__n", "start")
+
+
+def checked(shard_of: dict[int, int], shards: int, slots: int) -> dict[int, int]:
+    """shard_of, if it holds each of the slots and no others, in shards below the given number."""
+    if shard_of.keys() != set(range(slots)):
+        raise ValueError(f"the map has {len(shard_of)} slots, not 0 to {slots - 1}")
+    if other := sorted({k for k in shard_of.values() if not 0 <= k < shards}):
+        raise ValueError(f"the map has shards {other}, not 0 to {shards - 1}; rebalance it first")
+    return shard_of
 
 
 def shard(docs: DataFrame, shards: int, doc: str = "doc_id", text: str = "text", slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
     """doc, size, text_crc32, virtual_slot, shard, slot, version; sizes per shard are near equal.
 
-    A slot_map that has versions already is used as it is; else version 1 is made from the slots' bytes.
+    A slot_map that has versions already is used as it is, if it fits slots and shards; else version 1 is made from the
+    slots' bytes.
     """
     rows = slotted(docs, doc, text, slots)
     sums = slot_sums(rows).collect()  # at most `slots` rows
     slot_map = slot_map or SlotMap(docs.sparkSession, f"{shared_dir(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}")
-    try:
+    if slot_map.exists():
         version, shard_of = slot_map.latest()
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    else:
         version, shard_of = 1, first_map({r["virtual_slot"]: r["bytes"] for r in sums}, shards, slots)
         slot_map.write(version, shard_of)
-    return place(rows, sums, shard_of, doc).withColumn("version", F.lit(version))
+    return place(rows, sums, checked(shard_of, shards, slots), doc).withColumn("version", F.lit(version))
 
 
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
