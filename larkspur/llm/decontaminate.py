@@ -6,7 +6,8 @@ window's words. Only verified hits leave the row.
 
 Edge cases: a null or wordless text has no words and is clean; a null or wordless item has no windows; items with equal
 windows all count; items of fewer than `size` words are one window; repeated rows are judged each for itself; an empty
-benchmark leaves every document clean; further columns of either table are not read.
+benchmark or table of documents is no error, and an empty benchmark leaves every document clean; a null id is an id like
+others; further columns of either table are not read.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import ascii_lower, settle, table
+from larkspur.llm.common import ascii_lower, semi_by_id, settle, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: As WORD, in texts that are not lower-cased.
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Windows in one broadcast hash set, about 100 bytes each; more go in further passes over the documents.
-WINDOWS_PER_PASS = 1_000_000
+#: Bytes of windows and items in one broadcast hash set; more go in further passes over the documents.
+BYTES_PER_PASS = 100_000_000
+#: Rows that a window's items are spread over, so that no row grows with the items of a window that many share.
+ITEM_ROWS = 256
 
 
 def words(text: Column) -> Column:
@@ -57,12 +60,12 @@ def _window_hashes(df: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = 10) -> DataFrame:
-    """(hash, n, window array<string>, items array<item>): one row for each different window."""
+    """(n, window array<string>, items array<item>): rows of different windows, more than one where many items have it."""
     items = benchmark.select(F.col(item).alias("item"), words(F.col(text)).alias("words")).filter(F.size("words") > 0)
     n = F.least(F.lit(size), F.size("words"))
     rows = items.select("item", "words", n.alias("n")).select("item", "n", "words", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("n") + 1)).alias("at"))
     windows = rows.select("item", "n", F.slice("words", F.col("at"), F.col("n")).alias("window"))
-    return windows.groupBy("n", "window").agg(F.collect_set("item").alias("items"))
+    return windows.groupBy("n", "window", F.pmod(F.xxhash64("item"), F.lit(ITEM_ROWS)).alias("lot")).agg(F.collect_set("item").alias("items")).drop("lot")
 
 
 def _hashed(windows: DataFrame, lengths: list[int]) -> DataFrame:
@@ -85,12 +88,14 @@ def _covered(hits: Column) -> Column:
     return F.aggregate(hits, start, add, lambda s: s["sum"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, windows_per_pass: int = WINDOWS_PER_PASS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 10, bytes_per_pass: int = BYTES_PER_PASS) -> DataFrame:
     """One row for each row of docs: doc, n_words, n_hit, hits array<struct<at, n>> (word places from 0), items (sorted ids as strings)."""
     windows = settle(benchmark_windows(benchmark, item, item_text, size), "windows")
-    total = windows.groupBy("n").count().collect()  # at most `size` rows
+    # 8 bytes for each word and id beside the characters, 100 for the row
+    weight = F.length(F.concat_ws("", "window")) + F.length(F.concat_ws("", F.transform("items", lambda x: x.cast("string")))) + 8 * (F.col("n") + F.size("items")) + 100
+    total = windows.groupBy("n").agg(F.sum(weight).alias("bytes")).collect()  # at most `size` rows
     lengths = sorted(r["n"] for r in total)
-    passes = -(-sum(r["count"] for r in total) // windows_per_pass) or 1
+    passes = -(-sum(r["bytes"] for r in total) // bytes_per_pass) or 1
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc"), F.col(text).alias("text"))
     if passes > 1:
         own = settle(own, "rows")  # every pass has to see the same row numbers
@@ -112,7 +117,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id
             inside = (place >= before) & (place < before + count)
             at = F.when(inside, place - before).otherwise(at)
             before = before + count
-        part = hashed if passes == 1 else hashed.filter(F.pmod(F.xxhash64("window"), F.lit(passes)) == k)
+        part = hashed if passes == 1 else hashed.filter(F.pmod(F.xxhash64("window", "items"), F.lit(passes)) == k)
         part = part.withColumnsRenamed({"hash": "hash_of"})
         same = (F.col("hash") == F.col("hash_of")) & (F.col("place") > 0) & (F.slice("words", at + 1, F.col("of")) == F.col("window"))
         joined = rows.join(F.broadcast(part), same, "left").filter((F.col("place") == 0) | F.col("of").isNotNull())
@@ -121,17 +126,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id
     return hits.select(F.col("doc").alias(doc), F.col("n_words").cast("long").alias("n_words"), _covered(F.col("hits")).cast("long").alias("n_hit"), "hits", F.sort_array(F.transform("items", lambda x: x.cast("string"))).alias("items"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", doc: str = "doc_id", text: str = "text", **more) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", text: str = "text", **more) -> DataFrame:
     """docs without what the benchmark has.
 
     action "documents": rows with a hit go. action "spans": the hit words and the separators after them go from the
-    texts, and n_chars, where docs has it, follows. Rows are told apart by doc; rows that share it are hit together.
-    A row whose doc is null is judged with the other rows of null doc.
+    texts, and n_chars, where docs has it, follows. The verdict hangs on the text alone, so rows are matched with it by a
+    digest of the text, whatever their ids; texts aren't shuffled as long as the hit digests can be broadcast.
     """
-    found = find_contamination(docs, benchmark, doc, text, **more).filter("n_hit > 0")
-    bad = found.groupBy(F.col(doc).alias("__doc")).agg(F.flatten(F.collect_set("hits")).alias("__hits"))
+    digest = F.sha2(F.col(text), 256)
+    judged = docs.select(digest.alias("__digest"), F.col(text).alias("__text"))
+    found = find_contamination(judged, benchmark, "__digest", "__text", **more).filter("n_hit > 0")
     if action == "documents":
-        return docs.join(bad, docs[doc].eqNullSafe(F.col("__doc")), "left_anti")
+        bad = settle(found.select("__digest").distinct(), "contaminated")
+        return semi_by_id(docs.withColumn("__own", F.coalesce(digest, F.lit(""))), bad, "__own", "__digest", keep=False).drop("__own")
     if action != "spans":
         raise ValueError(f"unknown action {action!r}")
     parts = F.regexp_extract_all(F.col(text), F.lit(f"{WORD_ANY_CASE}|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
@@ -144,7 +151,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
         return F.struct(k.alias("k"), F.when(hit, s["kept"]).otherwise(F.concat(s["kept"], F.array(part))).alias("kept"))
 
     cut = F.aggregate(parts, state, step, lambda s: F.concat_ws("", s["kept"]))
-    joined = docs.join(bad, docs[doc].eqNullSafe(F.col("__doc")), "left")
+    bad = settle(found.groupBy("__digest").agg(F.first("hits").alias("__hits")), "contaminated")  # equal texts have equal hits
+    joined = docs.withColumn("__own", digest).join(bad, F.col("__own") == F.col("__digest"), "left")
     joined = joined.withColumn(text, F.when(F.col("__hits").isNotNull(), cut).otherwise(F.col(text)))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("__hits").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

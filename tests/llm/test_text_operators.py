@@ -38,14 +38,14 @@ def contaminated(text, items, size=10):
     return len(own), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("per_pass", [1_000_000, 5])
+@pytest.mark.parametrize("per_pass", [1_000_000, 900])
 def test_decontamination_is_brute_force(spark, per_pass):
     rng = random.Random(4)
     words_of = lambda n: " ".join(rng.choice("abc") for _ in range(n))
     items = [(10, words_of(14)), (2, "Ä b"), (3, "x"), (4, None), (5, "..."), (6, words_of(10)), (7, "x"), (8, words_of(7))]
     texts = [None, "", "--", "x", "X, y Ä B!", items[0][1] + " " + items[5][1], *(words_of(rng.randint(1, 120)) for _ in range(12)), "x", f"q {items[0][1].upper()} q"]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
-    got = decontaminate.find_contamination(docs(spark, texts), bench, windows_per_pass=per_pass)
+    got = decontaminate.find_contamination(docs(spark, texts), bench, bytes_per_pass=per_pass)
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.collect()} == {k: contaminated(t, items) for k, t in enumerate(texts)}
 
 
@@ -60,6 +60,17 @@ def test_decontamination_acts(spark):
     assert decontaminate.find_contamination(d.limit(0), bench).count() == 0
     with pytest.raises(ValueError, match="action"):
         decontaminate.decontaminate(d, bench, "none")
+    shared = spark.createDataFrame([(1, "clean"), (1, item), (None, item), (None, "also clean"), (2, None), (2, item + " too")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontaminate.decontaminate(shared, bench).collect()) == [(0, "also clean"), (1, "clean"), (2, "")]
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontaminate.decontaminate(shared, bench, "spans").collect()) == [(0, ""), (0, "also clean"), (1, ""), (1, "clean"), (2, ""), (2, "too")]
+    assert decontaminate.decontaminate(d.limit(0), bench).count() == 0 and decontaminate.decontaminate(d, bench.limit(0)).count() == 3
+
+
+def test_items_that_share_a_window_are_all_told(spark):
+    item = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(k, item) for k in range(700)], "item_id long, text string")
+    got = decontaminate.find_contamination(docs(spark, [f"x {item} y", "none"]), bench, bytes_per_pass=40_000).orderBy("doc_id").collect()
+    assert (got[0].n_hit, got[0]["items"]) == (10, sorted(str(k) for k in range(700))) and (got[1].n_hit, got[1]["items"]) == (0, [])
 
 
 def test_decontamination_is_its_sql(spark, tmp_path):
@@ -132,6 +143,23 @@ def test_shards(spark):
     assert shards.shard(docs(spark, []), 4).count() == 0
 
 
+def test_no_map_loses_rows(spark, tmp_path):
+    d = docs(spark, [f"t{k}" for k in range(300)])
+    store = shards.SlotMap(spark, str(tmp_path / "map"))
+    store.write(1, shards.first_map({}, 4, 64))
+    for asked, slots in ((4, 128), (4, 32), (3, 64)):
+        with pytest.raises(ValueError, match="the map has"):
+            shards.shard(d, asked, slots=slots, slot_map=store)
+    with pytest.raises(ValueError, match="written already"):
+        store.write(1, shards.first_map({}, 5, 64))
+    assert shards.shard(d, 4, slots=64, slot_map=store).count() == 300
+    store.rebalance({}, 5)
+    assert {r.version for r in shards.shard(d, 5, slots=64, slot_map=store).collect()} == {2}
+    repeated = spark.createDataFrame([(7, "same")] * 50 + [(None, "x"), (None, None)], "doc_id long, text string").withColumn("size", F.lit("clash"))
+    got = shards.shard(repeated, 2).collect()
+    assert len(got) == 52 and all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in (0, 1))
+
+
 def test_rebalancing_moves_few_slots(spark, tmp_path):
     sums = {s: 100 + s % 7 for s in range(256)}
     store = shards.SlotMap(spark, str(tmp_path / "map"))
