@@ -1,25 +1,28 @@
 """Quality classifier by co-training.
 
-Two views of a document: its text (which telling words and marks it has) and its page metadata (source, language and
-layout: length, lines, shares of character classes, repetition). Each view has a logistic classifier. Over rounds a
-view labels those documents of an unlabelled pool of which it is surest, for the other view to learn from, provided
-that it was right about such documents on a calibration fold. The views are then calibrated and combined on that fold,
-and all documents are scored. There are two heads: low quality and toxic; a document that either rejects goes.
+Two views of a document: its text (which telling words, beginnings of words and marks it has) and its page metadata
+(source, language and layout: length, lines, shares of character classes, repetition). Each view has a logistic classifier.
+Over rounds a view labels those documents of an unlabelled pool of which it is surest, for the other view to learn from,
+provided that it was right about such documents on a calibration fold. The views are then calibrated and combined on that
+fold, and all documents are scored. There are two heads: low quality and toxic; a document that either rejects goes.
 
 The classifiers are fitted on a bounded sample of labelled rows (SAMPLE) and pool of unlabelled ones (POOL), whole
-texts, chosen by a hash of the id; every document is scored.
+texts, chosen by a hash of the id. What tells is counted on the executors over the sample, and everything that tells
+enough (LEAST_G) is used. Every document is scored.
 
 Edge cases: a null text counts as empty, a null source or language as a value of its own; labels with a null id or
-null value are not learned from, several labels of one id count as the worst; with labels of one class alone a head
-says that class's opposite never; repeated rows are scored each for itself; an empty table gives an empty result;
-other columns are not read.
+null value are not learned from, several labels of one id count as the worst; of several rows with one id the least by
+text, source and language is learned from; with labels of one class alone, or none, a head says that class's opposite
+never; repeated rows are scored each for itself; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import operator
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import table
+from larkspur.llm.common import settle, table
 
 SAMPLE = 6_000
 POOL = 3_000
 ROUNDS = 3
-#: Words and marks that a head's text view looks at.
-TELLING = 400
-#: G-squared from which a word tells: about one in 5,000 words without a bearing comes so far.
-LEAST_G = 14.0
+#: Lengths of the beginnings of words that are features beside the words.
+BEGINNINGS = range(4, 8)
+#: G-squared from which a feature tells, and in how many documents it has to be: about one in 20,000 without a bearing comes so far.
+LEAST_G, LEAST_SEEN = 20.0, 3
 SOURCES, LANGUAGES = 32, 16
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -86,18 +89,38 @@ def logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
-def telling(codes: np.ndarray, of: np.ndarray, n_tokens: int, y: np.ndarray) -> np.ndarray:
-    """The tokens (by code) whose presence tells most of y, by G-squared over labelled documents."""
-    pos, n = float(y.sum()), float(len(y))
-    with_pos = np.bincount(codes, weights=y[of], minlength=n_tokens)
-    with_all = np.bincount(codes, minlength=n_tokens).astype(float)
-    g = np.zeros(n_tokens)
-    for seen, total, share in ((with_pos, with_all, pos / n), (with_all - with_pos, with_all, 1 - pos / n), (pos - with_pos, n - with_all, pos / n), ((n - with_all) - (pos - with_pos), n - with_all, 1 - pos / n)):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            g += np.where(seen > 0, 2 * seen * np.log(seen / (total * share)), 0)
-    g[with_all < 3] = 0
-    best = np.argsort(-g, kind="stable")[:TELLING]
-    return best[g[best] >= LEAST_G]
+class Vocabulary:
+    """Features of the text view: words and marks, and beginnings of longer words, which end in a blank."""
+
+    def __init__(self, features: list[str]):
+        self.place = {f: i for i, f in enumerate(features)}
+        self.words = frozenset(f for f in features if f[-1] != " ")
+        self.begin = frozenset(f[: BEGINNINGS[0]] for f in features if f[-1] == " ")
+
+    def of(self, tokens: list[str]) -> dict[int, float]:
+        """Features of a text by their place, each with the binary logarithm of 1 + its times."""
+        times: dict[int, int] = {}
+        for t in tokens:
+            if t in self.words:
+                k = self.place[t]
+                times[k] = times.get(k, 0) + 1
+            if t[: BEGINNINGS[0]] in self.begin:
+                for b in beginnings(t):
+                    if (k := self.place.get(b)) is not None:
+                        times[k] = times.get(k, 0) + 1
+        return {k: math.log2(1 + n) for k, n in times.items()}
+
+
+def beginnings(token: str) -> list[str]:
+    return [token[:k] + " " for k in BEGINNINGS if k < len(token)]
+
+
+def telling(of: Column, with_of: Column, n: int, pos: int) -> Column:
+    """G-squared of a feature that `of` documents have, `with_of` of them in the class that has pos of n documents."""
+    total = F.lit(0.0)
+    for seen, among, share in ((with_of, of, pos / n), (of - with_of, of, 1 - pos / n), (F.lit(pos) - with_of, F.lit(n) - of, pos / n), (F.lit(n - pos) - (of - with_of), F.lit(n) - of, 1 - pos / n)):
+        total = total + F.when(seen > 0, 2 * seen * F.log(seen / (among * share))).otherwise(0.0)
+    return total
 
 
 def co_train(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,36 +155,69 @@ def co_train(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, pool_text: n
 
 
 class Head:
-    """One question put to all documents: the words its text view knows, and the weights."""
+    """One question put to all documents: weights of the vocabulary and of the layout, and of both views together."""
 
-    def __init__(self, words: dict[str, int], text_w: np.ndarray, meta_w: np.ndarray, combined: np.ndarray):
-        self.words, self.text_w, self.meta_w, self.combined = words, text_w, meta_w, combined
-        self.known = frozenset(words)
+    def __init__(self, text_w: np.ndarray, meta_w: np.ndarray, combined: np.ndarray):
+        self.text_w, self.meta_w, self.combined = text_w, meta_w, combined
 
-    def score(self, tokens: set[str], layout: np.ndarray) -> float:
-        text = float(self.text_w[-1]) + sum(float(self.text_w[self.words[t]]) for t in tokens & self.known)
+    def score(self, features: dict[int, float], layout: np.ndarray) -> float:
+        text = float(self.text_w[-1]) + sum(float(self.text_w[k]) * v for k, v in features.items())
         meta = float(layout @ self.meta_w[:-1] + self.meta_w[-1])
         z = self.combined[0] * np.clip(text, -30, 30) / 4 + self.combined[1] * np.clip(meta, -30, 30) / 4 + self.combined[2]
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _features(docs: DataFrame) -> DataFrame:
-    def run(batches):
+class Model:
+    """Both heads and the vocabulary that they share."""
+
+    def __init__(self, vocabulary: list[str], heads: dict[str, Head]):
+        self.vocabulary, self.heads = Vocabulary(vocabulary), heads
+
+    def score(self, text: str, source: str | None, lang: str | None) -> tuple[float, float]:
+        """Probabilities of low quality and toxicity."""
+        tokens = tokens_of(text)
+        features, layout = self.vocabulary.of(tokens), layout_of(text, tokens, source, lang)
+        return self.heads["bad"].score(features, layout), self.heads["toxic"].score(features, layout)
+
+
+def _counts(sample: DataFrame) -> DataFrame:
+    """feature, n, bad, toxic: documents with the feature, and how many of those are of low quality and toxic."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, layouts = [], []
-            for t, s, g in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                text = t.as_py() or ""
-                tokens = tokens_of(text)
-                sets.append(sorted(set(tokens)))
-                layouts.append(layout_of(text, tokens, s.as_py(), g.as_py()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(5), pa.array(sets, pa.list_(pa.string())), pa.array(layouts, pa.list_(pa.float32()))], ["id", "bad", "toxic", "tokens", "layout"])
+            made: dict[str, list[float]] = {}
+            for text, *labels in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                tokens = set(tokens_of(text or ""))
+                for f in tokens.union(*map(beginnings, tokens)):
+                    row = made.setdefault(f, [0.0, 0.0, 0.0])
+                    row[0] += 1
+                    row[1] += labels[0]
+                    row[2] += labels[1]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.string()), *(pa.array(c, pa.float64()) for c in zip(*made.values(), strict=True))], ["feature", "n", "bad", "toxic"])
+
+    made = sample.select("text", "bad", "toxic").mapInArrow(run, "feature string, n double, bad double, toxic double")
+    return made.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("toxic").alias("toxic")).filter(F.col("n") >= LEAST_SEEN)
+
+
+def _features(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, values, layouts = [], [], []
+            for t, s, g in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                tokens = tokens_of(t or "")
+                features = vocabulary.of(tokens)
+                found.append(list(features))
+                values.append(list(features.values()))
+                layouts.append(layout_of(t or "", tokens, s, g))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(5), batch.column(6), pa.array(found, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32())), pa.array(layouts, pa.list_(pa.float32()))], ["id", "bad", "toxic", "fold", "features", "values", "layout"])
 
-    return docs.select("id", "text", "source", "lang", "bad", "toxic").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, bad double, toxic double, tokens array<string>, layout array<float>")
+    return sample.select("doc_id", "text", "source", "lang", "bad", "toxic", "fold").mapInArrow(run, f"id {sample.schema['doc_id'].dataType.simpleString()}, bad double, toxic double, fold boolean, features array<int>, values array<float>, layout array<float>")
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> dict[str, Head]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model:
     """Heads "bad" and "toxic". docs: doc_id, text, source, lang; labels: doc_id, quality, toxic."""
-    worst = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((1 - F.min("quality")).cast("double").alias("bad"), F.max("toxic").cast("double").alias("toxic"))
+    worst = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((1 - F.min("quality")).cast("double").alias("bad"), F.max("toxic").cast("double").alias("toxic"))
     hashed = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     below = lambda n, of: int(min(1.0, n / max(1, of)) * (1 << 30))
     chosen = worst.filter(hashed() < below(sample, worst.count())).orderBy(hashed(), "doc_id").limit(sample)
@@ -169,60 +225,53 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
     labelled = own.join(F.broadcast(chosen), "doc_id")  # at most `sample` small rows
     other = F.pmod(F.xxhash64("doc_id", F.lit("pool")), F.lit(1 << 30)) < below(pool, docs.count())
     unlabelled = own.filter(other).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").withColumns({"bad": F.lit(None).cast("double"), "toxic": F.lit(None).cast("double")})
-    got = _features(labelled.union(unlabelled.select(labelled.columns)).withColumnRenamed("doc_id", "id")).toArrow()  # about sample + pool rows, or more where ids repeat
-    got = got.take(np.argsort(np.array([zlib.crc32(str(i).encode()) for i in got["id"].to_pylist()]), kind="stable")).slice(0, 2 * (sample + pool)).combine_chunks()
-    lists = got["tokens"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.string()))
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    coded = lists.flatten().dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    names = coded.dictionary.to_pylist()
-    layout = np.array(got["layout"].to_pylist(), np.float32).reshape(len(lists), LAYOUT)
-    fold = np.array([zlib.crc32(f"fold{i}".encode()) % 4 == 0 for i in got["id"].to_pylist()], bool)
+    one = F.min(F.struct("text", "source", "lang", "bad", "toxic")).alias("one")
+    rows = labelled.union(unlabelled.select(labelled.columns)).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(one).select("doc_id", "one.*")
+    rows = settle(rows.withColumn("fold", F.crc32(F.concat(F.lit("fold"), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0), "sample")
+    learnt = rows.filter("bad IS NOT NULL AND NOT fold")
+    n, bad, toxic = learnt.agg(F.count("*"), F.sum("bad"), F.sum("toxic")).first()
+    g = {c: telling(F.col("n"), F.col(c), n, pos) if pos and pos < n else F.lit(0.0) for c, pos in (("bad", bad), ("toxic", toxic))}
+    tells = _counts(learnt).select("feature", *[v.alias(c) for c, v in g.items()]).filter((F.col("bad") >= LEAST_G) | (F.col("toxic") >= LEAST_G)).toArrow().sort_by("feature")
+    names = tells["feature"].to_pylist()
+    got = _features(rows, Vocabulary(names)).toArrow()  # about sample + pool small rows
+    got = got.take(np.argsort(np.array([zlib.crc32(str(i).encode()) for i in got["id"].to_pylist()]), kind="stable")).combine_chunks()
+    x = np.zeros((got.num_rows, len(names)), np.float32)
+    for row, features, values in zip(x, got["features"].to_pylist(), got["values"].to_pylist(), strict=True):
+        row[features] = values
+    layout = np.array(got["layout"].to_pylist(), np.float32).reshape(got.num_rows, LAYOUT)
+    fold = np.array(got["fold"].to_pylist(), bool)
     heads = {}
     for name in ("bad", "toxic"):
         y = np.array([np.nan if v is None else v for v in got[name].to_pylist()], float)
         has = ~np.isnan(y)
-        if len(set(y[has])) < 2:
-            value = -30.0 if not has.any() or y[has][0] == 0 else 30.0
-            heads[name] = Head({}, np.zeros(1), np.zeros(LAYOUT + 1), np.array([0.0, 0.0, value]))
+        if len(set(y[has])) < 2 or len(set(y[has & ~fold])) < 2:
+            value = -30.0 if not has.any() or y[has].mean() < 0.5 else 30.0
+            heads[name] = Head(np.zeros(len(names) + 1), np.zeros(LAYOUT + 1), np.array([0.0, 0.0, value]))
             continue
-        row = np.cumsum(has) - 1
-        learn = has[of] & ~fold[of]
-        used = np.flatnonzero(has & ~fold)
-        best = telling(codes[learn], np.searchsorted(used, of[learn]), len(names), y[used])
-        column = np.full(len(names), -1)
-        column[best] = np.arange(len(best))
-        x = np.zeros((len(lists), len(best)), np.float32)
-        here = column[codes] >= 0
-        x[of[here], column[codes[here]]] = 1
-        del row
-        parts = co_train(x[has], layout[has], y[has], x[~has], layout[~has], fold[has])
-        heads[name] = Head({names[k]: i for i, k in enumerate(best)}, *parts)
-    return heads
-
-
-def scores(spark: SparkSession, heads: dict[str, Head], text: Column, source: Column, lang: Column) -> Column:
+        mine = np.flatnonzero(tells[name].to_numpy() >= LEAST_G)
+        # of features in the same documents one is enough
+        mine = mine[np.unique(np.random.default_rng(7).random(len(x)) @ x[:, mine], return_index=True)[1]]
+        text_w, meta_w, combined = co_train(x[has][:, mine], layout[has], y[has], x[~has][:, mine], layout[~has], fold[has])
+        whole = np.zeros(len(names) + 1)
+        whole[[*mine, -1]] = text_w
+        heads[name] = Head(whole, meta_w, combined)
+    return Model(names, heads)
+
+
+def scores(spark: SparkSession, model: Model, text: Column, source: Column, lang: Column) -> Column:
     """struct<p_bad, p_toxic> of a row."""
-    shared = spark.sparkContext.broadcast(heads)
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("p_bad double, p_toxic double")
     def run(texts: pd.Series, sources: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        bad, toxic = shared.value["bad"], shared.value["toxic"]
-        out = []
-        for t, s, g in zip(texts, sources, langs, strict=True):
-            text = t or ""
-            tokens = tokens_of(text)
-            layout, distinct = layout_of(text, tokens, s, g), set(tokens)
-            out.append((bad.score(distinct, layout), toxic.score(distinct, layout)))
-        return pd.DataFrame(out, columns=["p_bad", "p_toxic"], dtype=float)
+        return pd.DataFrame([shared.value.score(t or "", s, g) for t, s, g in zip(texts, sources, langs, strict=True)], columns=["p_bad", "p_toxic"], dtype=float)
 
     return run(text, source, lang)
 
 
-def score_documents(docs: DataFrame, heads: dict[str, Head], threshold: float = 0.5) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs with p_bad, p_toxic, quality_score and keep."""
-    scored = docs.withColumn("__s", scores(docs.sparkSession, heads, F.col("text"), F.col("source"), F.col("lang")))
+    scored = docs.withColumn("__s", scores(docs.sparkSession, model, F.col("text"), F.col("source"), F.col("lang")))
     bad, toxic = F.col("__s.p_bad"), F.col("__s.p_toxic")
     return scored.select(*[F.col(c) for c in docs.columns], bad.alias("p_bad"), toxic.alias("p_toxic"), ((1 - bad) * (1 - toxic)).alias("quality_score"), ((bad < threshold) & (toxic < threshold)).alias("keep"))
 

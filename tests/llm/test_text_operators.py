@@ -227,15 +227,30 @@ def test_token_counts_are_those_of_word_pieces(spark):
     assert [(r.n_words, r.n_tokens, r.n_unknown) for r in got] == [(0, 0, 0), (0, 0, 0), (3, 3, 1)]
 
 
-def test_quality(spark):
-    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    heads = quality.train(d, labels)
-    out = quality.score_documents(d, heads).join(labels, "doc_id").collect()
-    assert sum((r.p_bad >= 0.5) == (r.quality == 0) for r in out) / len(out) > 0.95
-    assert sum((r.p_toxic >= 0.5) == (r.toxic == 1) for r in out) / len(out) > 0.9
-    odd = spark.createDataFrame([(1, None, None, None, 5), (1, "", "s", "en", 5), (None, "a퟿ b", "s", "en", 5)], "doc_id long, text string, source string, lang string, keep int").drop("keep")
-    assert quality.score_documents(odd, heads).filter("p_bad BETWEEN 0 AND 1").count() == 3
-    assert quality.keep_good(odd, labels.limit(0)).count() == 3
+def test_quality_on_held_out_labels(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = quality.train(d, labels.filter(~held))
+    out = quality.score_documents(d, model).join(labels.filter(held), "doc_id").collect()
+    share = lambda rows: sum(not r.keep for r in rows) / len(rows)
+    assert share([r for r in out if r.toxic]) > 0.9 and share([r for r in out if not r.quality]) > 0.95 and share([r for r in out if r.quality and not r.toxic]) < 0.02
+
+
+def test_quality_edges(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(d, labels)
+    odd = spark.createDataFrame([(1, None, None, None, 5), (1, "", "s", "en", 5), (None, "a\ud7ff b", "s", "en", 5)], "doc_id long, text string, source string, lang string, keep int").withColumnRenamed("keep", "one")
+    assert quality.score_documents(odd, model).filter("p_bad BETWEEN 0 AND 1").count() == 3
+    assert quality.keep_good(odd, labels.limit(0)).count() == 3 and quality.keep_good(odd.limit(0), labels).count() == 0
+    repeated = d.limit(5).select("doc_id", "text", "source", "lang").crossJoin(spark.range(40).select())
+    assert quality.score_documents(repeated, quality.train(repeated.union(d.select(repeated.columns)), labels)).count() == 200
+    nulls = labels.withColumns({c: F.lit(None).cast("int") for c in ("quality", "toxic")})
+    assert quality.keep_good(d, nulls).count() == d.count()
+
+
+def test_beginnings_of_words_count():
+    v = quality.Vocabulary(["idiot", "achl "])
+    assert v.of(quality.tokens_of("Idiot idiotic achlich achlau achl")) == {0: 1.0, 1: pytest.approx(1.585, abs=1e-3)}
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>if (a<b) "</p>"</script></head><body class="home sidebar">
