@@ -10,7 +10,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of rows that go to a Python worker at once; Spark's own 64 MB would stand several times in a worker and once in the JVM.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python workers of at most BATCH_BYTES; a smaller setting stays."""
+    if int(spark.conf.get(BATCH).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +49,7 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     The files go when the driver's JVM ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     forget_at_exit(spark, path)

@@ -7,13 +7,15 @@
 3. A list's head is the set with the earliest position in it. Every set is compared with the head that it meets in
    most lists, whole texts against whole texts, and linked sets become one component.
 4. Answers of a set follow from those of the linked head: lists, and pairs within a list, whose sets are in one
-   component already are skipped. In the others, blocks are skipped by size and position, as a pair whose later
-   position leaves too few shingles can't reach the threshold. What remains is compared whole, and components that
-   a pair links become one.
+   component already are skipped. The other lists are cut into blocks of about equal sizes before they are paired: an
+   entry's own size and its position, which says how many shingles can still be common, bound the sizes of larger
+   sets that reach the threshold with it, and only the blocks in these bounds are joined to it. What remains after
+   the other's position is compared whole, and components that a pair links become one.
 
 So every pair at or above the threshold is compared, or both its sets are in one component without it. Lists of very
-frequent shingles are split by salt for step 3, and their heads meet in a second step; the join of step 4 is left to
-Spark's skew splitting. Nothing is dropped or capped: the list of frequent shingles, which is bounded, only orders.
+frequent shingles are split by salt for step 3, and their heads meet in a second step; a salted entry stays if it is
+alone under its salt, as others of its shingle have other salts. The join of step 4 is left to Spark's skew splitting.
+Nothing is dropped or capped: the list of frequent shingles, which is bounded, only orders.
 
 Edge cases: a null, empty or blank text has an empty set, no link and itself as component; fewer words than a shingle
 has are one shingle; rows with equal ids and texts are one node and one row each in the result; rows of equal id and
@@ -23,6 +25,7 @@ of an equal set or null; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +39,11 @@ from larkspur.llm.shingles import WORDS, mix, shingle_sets
 #: Of at most so many frequent shingles the order follows their counts; 16 bytes each on every worker.
 FREQUENT = 1 << 18
 #: Shingles counted together before they are shuffled, and the least count in such a lot that is told on.
-LOT, LEAST = 2_000_000, 3
+LOT, LEAST = 500_000, 3
 #: Entries of an index list beyond which it is split.
 LONG_LIST = 100_000
+#: Sizes in one block of a list differ by this factor at most.
+BLOCK = 1.1
 
 
 def required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -217,13 +222,16 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     labelled = settle(labelled, "labelled")
     mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
     left = settle(labelled.join(mixed, "shingle", "left_semi"), "mixed")
-    x, y = left.select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "pos", "component")]), left.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos", "component")])
+    block = lambda n: F.floor(F.log(n) / math.log(BLOCK) + 1e-9).cast("int")
+    named = lambda e: left.select("shingle", *[F.col(c).alias(f"{c}_{e}") for c in ("id", "n", "pos", "component")])
+    # the largest set that can reach the threshold with a from its position on
+    top = F.floor(F.least(F.col("n_a") * 100 / percent, (F.col("n_a") - F.col("pos_a")) * (100 + percent) / percent - F.col("n_a")) + 1e-6)
+    x = named("a").withColumn("top", top).filter(F.col("top") >= F.col("n_a")).withColumn("block", F.explode(F.sequence(block(F.col("n_a")), block(F.col("top")))))
+    y = named("b").withColumn("block", block(F.col("n_b")))
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
-    size_fits = F.col("n_a") * 100 >= F.col("n_b") * percent
-    # what can still be common from this position on, against what has to be
-    rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    reach = rest * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    more = x.join(y, "shingle").filter((F.col("component_a") != F.col("component_b")) & smaller & size_fits & reach)
+    # what can still be common from b's position on, against what has to be
+    reach = (F.col("n_b") - F.col("pos_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    more = x.join(y, ["shingle", "block"]).filter((F.col("component_a") != F.col("component_b")) & smaller & (F.col("n_b") <= F.col("top")) & reach)
     more = more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     seen = pairs.union(pairs.select("b", "a"))
     more = settle(more.join(seen, ["a", "b"], "left_anti"), "more")
@@ -254,3 +262,16 @@ def keep_one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", *
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(doc_id, other) AS (SELECT a, b FROM way UNION SELECT r.doc_id, way.b FROM reach r JOIN way ON r.other = way.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY doc_id) l ON l.doc_id = w.doc_id
+"""

@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.OP2_SQL}
+    return {"op2_decontamination": decontaminate.OP2_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL}

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes of text hashed at once; a longer text goes alone.
-SLICE = 2_000_000
+SLICE = 400_000
 
 _rng = np.random.default_rng(20_240_501)
 _LOWER = np.arange(256, dtype=np.uint8)

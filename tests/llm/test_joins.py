@@ -1,10 +1,11 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import image_copies, jaccard_join
+from larkspur.llm import image_copies, jaccard_join, registry
 from larkspur.llm.common import components
 
 
@@ -62,6 +63,26 @@ def test_near_copies_meet_across_salts(spark):
     assert got == {i: i // 100 * 100 for i, _ in texts}
 
 
+@pytest.mark.parametrize("long", [1, 7, 60, 300])
+def test_two_of_many_texts_with_a_frequent_shingle_meet(spark, long):
+    passage = [f"p{i}" for i in range(5)]
+    pair = [[f"a{i}" for i in range(3)] + passage + [f"b{i}" for i in range(3 + k)] for k in range(2)]
+    # the passage is in every text and in the prefix of hardly any; the pair's other shingles are more frequent still
+    texts = [*pair, *(passage + [f"t{k}w{i}" for i in range(30)] for k in range(200)), *([f"s{k}"] + (pair[k % 2][:5] if k % 3 else pair[k % 2][6:]) + [f"u{k}w{i}" for i in range(40)] for k in range(300))]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), long_list=long).collect()}
+    assert got == brute(rows)
+
+
+def test_join_is_its_sql(spark, tmp_path):
+    registry.queries()["op10_jaccard_join"](spark, "/root/testdata/sf0.001").write.parquet(str(tmp_path / "out"))
+    c = duckdb.connect()
+    c.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    c.sql(f"CREATE TABLE want AS SELECT doc_id, n_shingles, component_id FROM ({registry.oracle_sql()['op10_jaccard_join']})")
+    c.sql(f"CREATE TABLE got AS SELECT doc_id, n_shingles, component_id FROM '{tmp_path}/out/*.parquet'")
+    assert c.sql("FROM want EXCEPT ALL FROM got").fetchall() == [] == c.sql("FROM got EXCEPT ALL FROM want").fetchall()
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     text = "one two three four five six"
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, None), (3, "else")], "doc_id long, text string")
