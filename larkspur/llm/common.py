@@ -51,7 +51,8 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # the codec of Parquet files by default takes memory outside the heap for every file, this one does not
+    df.write.option("compression", "zstd").parquet(path)
     forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
