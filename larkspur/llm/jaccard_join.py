@@ -1,7 +1,7 @@
 """Exact self-join of texts by the Jaccard similarity of their word shingles, with set-relation skipping.
 
 1. Texts with equal sets become one node, the smallest id among them.
-2. Shingles have one global order: those met often last, by counts over all texts, the rest by hash. A set's first
+2. Shingles have one global order: those met often last, by counts over all different texts, the rest by hash. A set's first
    shingles in that order (its prefix) go into index lists, one for each shingle, sorted by position. Two sets at or
    above the threshold have a shingle in both prefixes.
 3. A list's head is the set with the earliest position in it. Every set is compared with the head that it meets in
@@ -12,6 +12,9 @@
    sets that reach the threshold with it, and only the blocks in these bounds are joined to it. What remains after
    the other's position is compared whole, and components that a pair links become one.
 
+Before texts are moved for a comparison, a bound drops pairs: of both sets a bit map has the parity of the shingles that
+fall on each bit, and no two maps differ in more bits than their sets differ in shingles.
+
 So every pair at or above the threshold is compared, or both its sets are in one component without it. Lists of very
 frequent shingles are split by salt for step 3, and their heads meet in a second step; a salted entry stays if it is
 alone under its salt, as others of its shingle have other salts. The join of step 4 is left to Spark's skew splitting.
@@ -39,7 +42,9 @@ from larkspur.llm.shingles import WORDS, mix, shingle_sets
 #: Of at most so many frequent shingles the order follows their counts; 16 bytes each on every worker.
 FREQUENT = 1 << 18
 #: Shingles counted together before they are shuffled, and the least count in such a lot that is told on.
-LOT, LEAST = 500_000, 3
+LOT, LEAST = 2_000_000, 2
+#: Bits of a set's map of parities.
+BITS = 1024
 #: Entries of an index list beyond which it is split.
 LONG_LIST = 100_000
 #: Sizes in one block of a list differ by this factor at most.
@@ -52,20 +57,30 @@ def required(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """id, n, f1, f2: size of the set and its fingerprint."""
+    """id, n, f1, f2, bits: size of the set, its fingerprint and its map of parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, f1, f2 = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64)
+            bits = np.zeros((batch.num_rows, BITS // 8), np.uint8)
             for i, s in shingle_sets(batch.column(1), words):
+                bits[i] = np.packbits((np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool))
                 n[i], f1[i], f2[i] = len(s), mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], ["id", "n", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.FixedSizeListArray.from_arrays(pa.array(bits.view(np.int64).ravel()), BITS // 64).cast(pa.list_(pa.int64()))], ["id", "n", "f1", "f2", "bits"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, bits array<long>")
+
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long")
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose maps of parities don't rule out that they reach the threshold."""
+    named = lambda c: sets.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.join(named("a"), "a").join(named("b"), "b")
+    return both.filter(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)).select("a", "b").distinct()
 
 
 def _frequent(docs: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the shingles in most texts, counted over all of them; at most `most`."""
+    """Hashes (sorted) and counts of the shingles in most texts, counted over all of them in lots, of which only those count where a shingle is met LEAST times; at most `most`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(lot: list[np.ndarray]) -> pa.RecordBatch:
@@ -208,14 +223,14 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     copies = settle(copies.distinct().join(nodes.select(F.col("node").alias("id")), "id", "left_anti"), "copies")
     own = semi_by_id(docs.filter(F.col("id").isNotNull()), copies, "id", "id", keep=False)
 
-    entries = settle(_lists(_prefixes(own, _frequent(docs, words, most_frequent), percent, words, long_list)), "lists")
+    entries = settle(_lists(_prefixes(own, _frequent(own, words, most_frequent), percent, words, long_list)), "lists")
     near = (F.least("n", "head_n") * 100 >= F.greatest("n", "head_n") * percent) & (F.col("id") != F.col("head"))
     met = entries.filter(near).groupBy("id", "head").agg(F.count("*").alias("lists"))
     pairs = met.groupBy("id").agg(F.max_by("head", F.struct("lists", "head")).alias("head")).select(F.col("id").alias("a"), F.col("head").alias("b"))
     heads = entries.filter("salt > 0").select("shingle", "head").distinct()
     tops = heads.groupBy("shingle").agg(F.min("head").alias("top"))
     pairs = settle(pairs.union(heads.join(tops, "shingle").filter("head <> top").select("head", "top")).distinct(), "pairs")
-    links = settle(_linked(pairs, own, percent, words), "links")
+    links = settle(_linked(settle(_possible(pairs, full, percent), "possible"), own, percent, words), "links")
     group = components(links)
 
     labelled = entries.select("shingle", "id", "n", "pos").join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -234,7 +249,7 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text",
     more = x.join(y, ["shingle", "block"]).filter((F.col("component_a") != F.col("component_b")) & smaller & (F.col("n_b") <= F.col("top")) & reach)
     more = more.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     seen = pairs.union(pairs.select("b", "a"))
-    more = settle(more.join(seen, ["a", "b"], "left_anti"), "more")
+    more = settle(_possible(more.join(seen, ["a", "b"], "left_anti"), full, percent), "more")
     if not more.isEmpty():
         extra = _linked(more, own, percent, words)
         found = group.select("node", "component")
