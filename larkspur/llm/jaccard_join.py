@@ -100,7 +100,15 @@ def _frequent(docs: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.nd
             yield told(lot)
 
     counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shingle").limit(most).toPandas()  # at most `most` rows
+    counts = settle(counts.withColumn("level", F.floor(8 * F.log2("n")).cast("int")), "counts")
+    # whole levels of counts from the top, as many as fit: no task sends more than it has of these
+    least, total = 1 << 30, 0
+    for level, size in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most some hundred levels
+        total += size
+        if total > most:
+            break
+        least = level
+    top = counts.filter(F.col("level") >= least).toPandas()  # at most `most` rows
     shingle, n = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(shingle)
     return shingle[order], n[order]
