@@ -217,9 +217,9 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", source: s
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # bounds of ranges only spread the rows, so a sample of the keys is enough
     keys = own.select("host", "path", "page")
-    share = min(1.0, 60 * tasks / max(1, keys.count()))
-    seen = sorted((r[0], r[1], r[2] is not None, r[2]) for r in keys.sample(share, 17).collect())  # about 60 for each task
-    bounds = seen[:: max(1, len(seen) // (4 * tasks))]
+    share = min(1.0, 200 * tasks / max(1, keys.count()))
+    seen = sorted((r[0], r[1], r[2] is not None, r[2]) for r in keys.sample(share, 17).collect())  # about 200 for each task
+    bounds = seen[:: max(1, len(seen) // (16 * tasks))]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
