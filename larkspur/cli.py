@@ -1,16 +1,21 @@
-"""Command line: index, search, status, add, project add, project remove, project list."""
+"""Command line: index, search, status, add, prose-drift, report, project add, project remove, project list."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
 import os
 import sys
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.engine import Engine
 from larkspur.functions.text import shown
+from larkspur.operators import drift
 from larkspur.sources import config as configs
 
 
@@ -32,6 +37,13 @@ def parser() -> argparse.ArgumentParser:
     one = commands.add_parser("add")
     one.add_argument("project")
     one.add_argument("title")
+    one = commands.add_parser("prose-drift")
+    one.add_argument("-p", "--project", required=True)
+    one.add_argument("--limit", type=int, default=50)
+    for plug in ("extractor", "judge"):
+        one.add_argument(f"--{plug}", metavar="MODULE:FUNCTION")
+    one = commands.add_parser("report")
+    one.add_argument("--out")
     project = commands.add_parser("project").add_subparsers(dest="action", required=True)
     one = project.add_parser("add")
     one.add_argument("name")
@@ -42,6 +54,38 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def plugged(name: str | None) -> Callable | None:
+    """The function that module:function names."""
+    if not name:
+        return None
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def prose_drift(engine: Engine, name: str, limit: int) -> int:
+    """Prints drift; 0 without any, 1 with, 2 for an unknown project or one where it isn't enabled, 3 without extractor or judge."""
+    try:
+        found = engine.prose_drift(name)
+    except ValueError as e:
+        if str(e) not in drift.EXIT:
+            raise
+        print({"no_model": "an extractor and a judge have to be given", "project_unknown": f"unknown project {name}", "not_enabled": f"prose drift is not enabled for {name}"}[str(e)], file=sys.stderr)
+        return drift.EXIT[str(e)]
+    counters, total = found.counters.first(), found.drift.count()
+    for r in drift.report(found.drift, limit).collect():  # at most `limit` rows
+        sure = f" similarity {r['similarity']:.2f} confidence {r['confidence']:.2f}" if r["match_type"] == "semantic" else ""
+        print(f"{r['subject']} | {r['predicate']} | document: {r['doc_object']} ({name}/{r['source']}), fact: {r['fact_subject']} | {r['fact_predicate']} | {r['fact_object']} (session {r['session_id']}, version {r['version']}){sure}")
+    if total > limit:
+        print(f"{limit} of {total} shown", file=sys.stderr)
+    if counters["judge_errors"]:
+        print(f"{counters['judge_errors']} of {counters['judge_calls']} replies were no verdict", file=sys.stderr)
+    if counters["cap_hit"]:
+        print("the daily limit of calls was reached; the report is partial", file=sys.stderr)
+    if not total:
+        print("no facts" if not counters["facts_scanned"] else "no drift")
+    return drift.EXIT["drift" if total else None]
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     given = parser().parse_args(args)
     config = configs.load(given.config)
@@ -57,18 +101,30 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             print("\n".join(sorted(config.projects)))
         return 0
-    engine = Engine(spark or SparkSession.builder.appName("larkspur").getOrCreate(), config, given.store)
+    session = spark or SparkSession.builder.appName("larkspur").getOrCreate()
+    engine = Engine(session, config, given.store)
     if given.command == "index":
         name = given.project
         if given.detect_project and (name := config.project_of(given.detect_project)) is None:
             return 0
-        engine.index(name)
+        for place, error in engine.index(name).items():
+            print(f"{place} was not pruned: {error}", file=sys.stderr)
     elif given.command == "search":
         for r in engine.search([given.query], given.n, given.project, given.collection, given.path).withColumn("text", shown(F.col("text"))).collect():  # n rows
             print(f"[{r['rank']}] {r['project']} {r['file_path']}\n{r['text']}\n")
     elif given.command == "status":
         for r in engine.status().orderBy("project", "kind").collect():  # a few rows for each project
             print(r["project"] or "all", r["kind"] or "all", r["n"])
+        print("tracked files", engine.tracked_files())
+    elif given.command == "prose-drift":
+        engine = Engine(session, config, given.store, extractor=plugged(given.extractor), judge=plugged(given.judge))
+        return prose_drift(engine, given.project, given.limit)
+    elif given.command == "report":
+        rates = [r.asDict() for r in engine.stale_rates().orderBy("project", "kind").collect()]  # two rows for each project
+        told = json.dumps({"stale": rates, "tracked_files": engine.tracked_files()}, indent=2)
+        if given.out:
+            Path(given.out).write_text(told)
+        print(told)
     else:
         content = sys.stdin.read()
         if not content.strip():

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import time
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from larkspur.operators.upkeep import TOKENS_IN_ERROR
+
 
 class Embedded(NamedTuple):
     embeddings: list[list[float]]
@@ -66,17 +70,80 @@ def with_retries(call, errors: tuple[type[Exception], ...], tries: int = 5, wait
             time.sleep(wait * (k + 1))
 
 
-def embed_missing(texts: DataFrame, name: str, model: str, width: int | None = None, batch: int = 128) -> DataFrame:
-    """(model, content_hash, embedding) of texts (content_hash, text), which the caller has made distinct."""
+#: The number of tokens that a message of a batch too large names.
+_TOKENS = re.compile(TOKENS_IN_ERROR)
+
+
+def tokens_told(error: Exception) -> int | None:
+    """What a provider's error says of the batch's tokens, from which the estimate of characters a token can be mended."""
+    found = _TOKENS.search(str(error))
+    return int(found[1].replace(",", "")) if found else None
+
+
+def embed_missing(texts: DataFrame, name: str, model: str, width: int | None = None, batch: int = 128, tries: int = 5, wait: float = 20.0) -> DataFrame:
+    """(model, content_hash, embedding) of texts (content_hash, text), which the caller has made distinct.
+
+    A batch that fails in all tries with an error that may pass is skipped: its embeddings are null, so that its files don't
+    count as complete and come again in the next run. Any other error fails the job.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = provider(name)
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                got = with_retries(lambda part=part: own.embed(list(part["text"]), model=model, input_type="document"), own.retryable_errors)
-                if width is not None and any(len(v) != width for v in got.embeddings):
+                try:
+                    vectors = with_retries(lambda part=part: own.embed(list(part["text"]), model=model, input_type="document"), own.retryable_errors, tries, wait).embeddings
+                except own.retryable_errors:
+                    vectors = [None] * len(part)
+                if width is not None and any(v is not None and len(v) != width for v in vectors):
                     raise ValueError(f"{name} gave vectors of another width than {width}")
-                yield pd.DataFrame({"model": model, "content_hash": part["content_hash"], "embedding": [np.asarray(v, np.float32) for v in got.embeddings]})
+                yield pd.DataFrame({"model": model, "content_hash": part["content_hash"], "embedding": [None if v is None else np.asarray(v, np.float32) for v in vectors]})
 
     return texts.select("content_hash", "text").mapInPandas(run, "model string, content_hash string, embedding array<float>")
+
+
+class QueryCache:
+    """Embeddings of the last queries, for at most that many of them and seconds; least used ones go first."""
+
+    def __init__(self, most: int = 256, seconds: float = 300.0, clock: Callable[[], float] = time.monotonic):
+        self.most, self.seconds, self.clock = most, seconds, clock
+        self.held: OrderedDict[tuple[str, str], tuple[float, list[float]]] = OrderedDict()
+
+    def embed(self, own: EmbedProvider, texts: list[str], model: str) -> list[list[float]]:
+        now = self.clock()
+        for key in [k for k, (at, _) in self.held.items() if now - at >= self.seconds]:
+            del self.held[key]
+        known = {t: self.held[t, model][1] for t in texts if (t, model) in self.held}
+        if missing := [t for t in dict.fromkeys(texts) if t not in known]:
+            got = own.embed(missing, model=model, input_type="query").embeddings
+            known |= dict(zip(missing, got, strict=True))
+        for t in texts:
+            self.held.setdefault((t, model), (now, known[t]))
+            self.held.move_to_end((t, model))
+        while len(self.held) > self.most:
+            self.held.popitem(last=False)
+        return [known[t] for t in texts]
+
+
+class LoadedProvider:
+    """A local model: `load` makes it on first use. Vectors get unit length; queries have a prompt before them; the first
+    batch shows whether the model's width is the one that is registered for it."""
+
+    retryable_errors: tuple[type[Exception], ...] = ()
+
+    def __init__(self, load: Callable[[str], Callable[[list[str]], list[list[float]]]], widths: dict[str, int], prompt: str = ""):
+        self.load, self.widths, self.prompt = load, widths, prompt
+        self.models: dict[str, Callable] = {}
+
+    def embed(self, texts: list[str], *, model: str, input_type: str = "document") -> Embedded:
+        if model not in self.widths:
+            raise ValueError(f"unknown model {model!r}")
+        first = model not in self.models
+        run = self.models.setdefault(model, self.load(model)) if first else self.models[model]
+        vectors = np.asarray(run([self.prompt + t if input_type == "query" else t for t in texts]), float).reshape(len(texts), -1)
+        if first and len(texts) and vectors.shape[1] != self.widths[model]:
+            del self.models[model]
+            raise ValueError(f"{model} gives {vectors.shape[1]} numbers, {self.widths[model]} are registered")
+        norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+        return Embedded((vectors / np.where(norms == 0, 1, norms)).tolist(), sum(len(t.split()) for t in texts))

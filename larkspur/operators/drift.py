@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -41,6 +42,27 @@ def extract_facts(texts: DataFrame, extractor: Callable[[], Callable[[str], list
     return hashed.drop(text).join(once.mapInPandas(run, f"hash string, {TRIPLE}"), "hash").drop("hash")
 
 
+def extract_cached(texts: DataFrame, cache: DataFrame, extractor: Callable[[], Callable[[str], list[tuple[str, str, str]]]], model: str = "", version: str = "1") -> tuple[DataFrame, DataFrame]:
+    """Facts of texts (file_path, text, ...) as extract_facts gives them, and the new rows (text_sha, model, prompt_version, triples) of the cache.
+
+    Each different text is read once, and not at all where the cache has it for that model and prompt; that a text has no
+    facts is kept too. The join with the texts gives each file its facts whether they were cached or not.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        find = extractor()
+        for frame in frames:
+            yield pd.DataFrame({"text_sha": frame["text_sha"], "triples": [[dict(zip(("subject", "predicate", "object"), t, strict=True)) for t in find(x)] for x in frame["text"]]}, columns=["text_sha", "triples"])
+
+    hashed = texts.filter("text IS NOT NULL").withColumn("text_sha", F.sha2("text", 256))
+    own = cache.filter((F.col("model") == model) & (F.col("prompt_version") == version)).select("text_sha", "triples")
+    missing = hashed.groupBy("text_sha").agg(F.first("text").alias("text")).join(own, "text_sha", "left_anti")
+    new = missing.mapInPandas(run, f"text_sha string, triples array<struct<{TRIPLE.replace(' string', ':string')}>>").cache()  # the caller stores it
+    known = own.unionByName(new)
+    facts = hashed.drop("text").join(known, "text_sha").select(*[c for c in hashed.columns if c != "text"], F.explode("triples").alias("t")).select("*", "t.*").drop("t", "text_sha")
+    return facts, new.select("text_sha", F.lit(model).alias("model"), F.lit(version).alias("prompt_version"), "triples")
+
+
 def exact_drift(claims: DataFrame, facts: DataFrame) -> DataFrame:
     """Claims whose chain has a current fact with another object. Equal claims of two chunks are two rows."""
     c = claims.withColumn("chain_key", chain_key(F.col("subject"), F.col("predicate")))
@@ -85,12 +107,66 @@ def claim_keys(claims: DataFrame) -> DataFrame:
     return claims.withColumns({"claim_key": canonical_key(F.col("subject"), F.col("predicate"), F.col("object")), "fact_text": fact_text(F.col("subject"), F.col("predicate"), F.col("object"))})
 
 
+REPORT = "subject string, predicate string, match_type string, similarity double, confidence double, doc_object string, source string, fact_subject string, fact_predicate string, fact_object string, session_id string, version int"
+
+
+class Drift(NamedTuple):
+    """What a scan found: drift has REPORT's columns, counters one row (facts_scanned, docs_scanned, judge_calls, judge_errors,
+    cap_hit), replies the new rows of the judge's cache."""
+
+    drift: DataFrame
+    counters: DataFrame
+    replies: DataFrame
+
+
+def scan(claims: DataFrame, facts: DataFrame, docs: DataFrame, cache: DataFrame, judge: Callable[[], Callable[[str, str], str]], remaining: int, least: float = SIMILAR, model: str = "") -> Drift:
+    """Claims of documents that contradict current facts.
+
+    claims: subject, predicate, object, source, embedding. facts, one for each chain: subject, predicate, object, session_id,
+    version, embedding. docs: the scanned chunks. A claim whose chain has a fact is compared with that fact alone; any other
+    goes to the judge with the nearest fact, if that is similar enough. Replies in the cache (judge_key, reply) cost nothing,
+    `remaining` others are asked for; a reply that is no verdict is counted and left out.
+    """
+    known = facts.withColumn("chain_key", chain_key(F.col("subject"), F.col("predicate")))
+    told = claim_keys(claims).withColumn("chain_key", chain_key(F.col("subject"), F.col("predicate"))).withColumnRenamed("object", "doc_object")
+    fact = known.select("chain_key", *[F.col(c).alias(f"fact_{c}") for c in ("subject", "predicate", "object")], "session_id", "version")
+    exact = told.join(fact, "chain_key").filter(F.col("doc_object") != F.col("fact_object"))
+    exact = exact.withColumns({"match_type": F.lit("exact"), "similarity": F.lit(None).cast("double"), "confidence": F.lit(None).cast("double")})
+    names = [c.split()[0] for c in REPORT.split(", ")]
+    near = semantic_candidates(told.dropDuplicates(["claim_key"]), known, least, "claim_key")
+    fact_key = canonical_key(F.col("fact_subject"), F.col("fact_predicate"), F.col("fact_object"))
+    pairs = near.join(fact, "chain_key").withColumn("fact_key", fact_key)
+    answers, replies = judged(pairs, cache, judge, remaining, model)
+    yes = answers.filter("verdict.contradicts").withColumn("confidence", F.col("verdict.confidence")).drop("chain_key")
+    semantic = told.select("claim_key", "subject", "predicate", "doc_object", "source").join(yes, "claim_key").withColumn("match_type", F.lit("semantic"))
+    # equal claims of several chunks are rows of their own
+    found = exact.select(*names).unionByName(semantic.select(*names))
+    asked = replies.agg(F.count("*").alias("judge_calls"))
+    errors = answers.join(replies.select("judge_key"), "judge_key", "left_semi").select("judge_key", "error").distinct()
+    counters = facts.agg(F.count("*").alias("facts_scanned")).crossJoin(docs.agg(F.count("*").alias("docs_scanned"))).crossJoin(asked)
+    counters = counters.crossJoin(errors.agg(F.count_if("error").alias("judge_errors"))).crossJoin(answers.agg(F.coalesce(F.bool_or("cap_hit"), F.lit(False)).alias("cap_hit")))
+    return Drift(found, counters, replies)
+
+
+def preflight(project: str, known: dict[str, bool], extractor: object, judge: object) -> str | None:
+    """Why a scan can't begin: "no_model" without extractor or judge, "project_unknown", "not_enabled"; else None."""
+    if extractor is None or judge is None:
+        return "no_model"
+    if project not in known:
+        return "project_unknown"
+    return None if known[project] else "not_enabled"
+
+
+#: What the command ends with: drift found or not, or why it couldn't begin.
+EXIT = {None: 0, "drift": 1, "project_unknown": 2, "not_enabled": 2, "no_model": 3}
+
+
 def report(drift: DataFrame, n: int = 50) -> DataFrame:
     """The first rows to print, by subject, predicate and kind of match."""
     return drift.orderBy("subject", "predicate", "match_type").limit(n)
 
 
-def counters(drift: DataFrame) -> DataFrame:
+def kinds(drift: DataFrame) -> DataFrame:
     """Rows by kind of match."""
     w = Window.partitionBy("match_type")
     return drift.select("match_type", F.count("*").over(w).alias("n")).distinct()

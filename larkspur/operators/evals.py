@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +47,30 @@ def compare_arms(a: DataFrame, b: DataFrame) -> DataFrame:
     return grouped.agg(F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg(F.col("b") - F.col("a")).alias("delta"), F.count("*").alias("n"))
 
 
-def bootstrap_ci(deltas: list[float], resamples: int = 2000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
-    """Percentile interval of the mean; (0, 0) of nothing."""
-    if not deltas:
+#: The generator's seed, and the places in the sorted means that bound the interval.
+SEED = 0
+
+
+def interval_places(resamples: int, alpha: float) -> tuple[int, int]:
+    """Places of the lower and upper bound among that many sorted means: one before alpha / 2 of them, and at 1 - alpha / 2."""
+    cut = alpha / 2
+    return min(max(int(cut * resamples) - 1, 0), resamples - 1), min(int((1 - cut) * resamples), resamples - 1)
+
+
+def bootstrap_ci(deltas: list[float], resamples: int = 2000, alpha: float = 0.05, seed: int = SEED) -> tuple[float, float]:
+    """Percentile interval of the mean over samples with replacement, drawn by the standard library's generator; (0, 0) of nothing."""
+    n = len(deltas)
+    if n == 0:
         return 0.0, 0.0
-    rng = random.Random(seed)
-    means = sorted(sum(rng.choice(deltas) for _ in deltas) / len(deltas) for _ in range(resamples))
-    return means[max(0, int(alpha / 2 * resamples) - 1)], means[min(resamples - 1, int((1 - alpha / 2) * resamples))]
+    draw = random.Random(seed)
+    drawn = np.fromiter((draw.choice(range(n)) for _ in range(resamples * n)), np.int64, resamples * n).reshape(resamples, n)
+    # a resample's mean is how often each value was drawn, times the values
+    offsets = drawn + np.arange(resamples)[:, None] * n
+    times = np.bincount(offsets.ravel(), minlength=resamples * n).reshape(resamples, n)
+    means = times @ np.asarray(deltas, float) / n
+    low, high = interval_places(resamples, alpha)
+    ordered = np.partition(means, (low, high))
+    return float(ordered[low]), float(ordered[high])
 
 
 def bootstrap(df: DataFrame, group: str, order: str, value: str, resamples: int = 2000) -> DataFrame:
@@ -82,3 +100,18 @@ def list_overlap(a: Column, b: Column) -> Column:
     """Jaccard of two result lists; 1 where both are empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+
+
+def latency_summary(timed: DataFrame, group: str = "name", seconds: str = "seconds") -> DataFrame:
+    """(group, median, mean) of measured times."""
+    return timed.groupBy(group).agg(F.percentile(seconds, 0.5).alias("median"), F.avg(seconds).alias("mean"))
+
+
+def throughput(batches: DataFrame, corpus_tokens: int) -> DataFrame:
+    """(batch_size, tokens_per_second, hours): speed of embedding by size of batch, and what a whole index would take.
+
+    batches: batch_size, tokens, seconds. A size that took no time has no speed.
+    """
+    speed = F.try_divide(F.sum("tokens").cast("double"), F.sum("seconds"))
+    rated = batches.groupBy("batch_size").agg(speed.alias("tokens_per_second"))
+    return rated.withColumn("hours", F.try_divide(F.lit(float(corpus_tokens)), F.col("tokens_per_second")) / 3600)

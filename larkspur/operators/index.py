@@ -11,9 +11,17 @@ from pyspark.sql import functions as F
 BATCH_TOKENS, BATCH_ITEMS = 80_000, 128
 
 
-def upsert(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """target with new's rows in place of those with equal keys."""
-    return target.join(new, keys, "left_anti").unionByName(new)
+def last_of_each(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row for each key: the last by order, or any where the rows have none."""
+    if order is None:
+        return rows.dropDuplicates(keys)
+    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def upsert(target: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """target with new's rows in place of those with equal keys; of several new rows of a key the last by order counts."""
+    return target.join(new, keys, "left_anti").unionByName(last_of_each(new, keys, order))
 
 
 def manifest_diff(files: DataFrame, manifest: DataFrame, path: str = "path", digest: str = "sha256") -> DataFrame:
@@ -147,6 +155,11 @@ def status(chunks: DataFrame) -> DataFrame:
     return chunks.rollup("project", "kind").agg(F.count("*").alias("n"))
 
 
+def tracked_files(manifest: DataFrame) -> DataFrame:
+    """One row (n): manifest entries of all projects, whichever a status is asked for; those named with _ are no projects."""
+    return manifest.filter(~F.col("project").startswith("_")).agg(F.count("*").alias("n"))
+
+
 def top_paths(paths: DataFrame, parts: int = 2, n: int = 15) -> DataFrame:
     return paths.groupBy(F.substring_index("path", "/", parts).alias("folder")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder").limit(n)
 

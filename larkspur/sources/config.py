@@ -69,8 +69,9 @@ def load(path: str) -> Config:
     for name, p in (raw.get("projects") or {}).items():
         p = p or {}
         dirs = list(p.get("code_dirs") or [])
-        if p.get("code_dir"):
-            dirs.append({"path": p["code_dir"], "extensions": p.get("extensions") or []})
+        if not dirs and p.get("code_dir"):
+            # the older form has the folder's settings beside it
+            dirs = [{"path": p["code_dir"]} | {k: p.get(k) for k in ("extensions", "include_dirs", "exclude_dirs")}]
         docs = list(p.get("docs_dirs") or []) + ([p["docs_dir"]] if p.get("docs_dir") else [])
         config.projects[name] = Project(name, [CodeDir(d["path"], list(d.get("extensions") or []), list(d.get("include_dirs") or []), list(d.get("exclude_dirs") or [])) for d in dirs], docs, bool(p.get("prose_drift_enabled")))
     _loaded[path] = (at, config)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from larkspur.operators import index
 
 
+#: Snapshots of a table that stay, the newest among them.
+KEPT = 3
+_POINTER = re.compile(r"(\d+)\.([0-9a-f]{32})\.pointer")
+
+
 class Store:
     """One writer at a time; readers see the last complete snapshot. Paths may be on any file system that Spark reads."""
 
@@ -21,32 +26,34 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/current.json"
+    def _pointers(self, name: str) -> list[tuple[int, str]]:
+        """(number, snapshot) of every pointer, in order. A pointer is an empty file whose name says both."""
+        fs, p = self._fs(f"{self.root}/{name}")
+        if not fs.exists(p):
+            return []
+        found = (_POINTER.fullmatch(f.getPath().getName()) for f in fs.listStatus(p))
+        return sorted((int(m[1]), m[2]) for m in found if m)
 
     def snapshot(self, name: str) -> str | None:
-        fs, p = self._fs(self._pointer(name))
-        if not fs.exists(p):
-            return None
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(self._pointer(name)).collect()))["snapshot"]  # one line
+        found = self._pointers(name)
+        return found[-1][1] if found else None
 
     def read(self, name: str, schema: str) -> DataFrame:
         at = self.snapshot(name)
         return self.spark.createDataFrame([], schema) if at is None else self.spark.read.schema(schema).parquet(f"{self.root}/{name}/{at}")
 
     def overwrite(self, name: str, df: DataFrame, partition: list[str] = ()) -> None:
-        """The snapshot is complete before the pointer is swapped."""
+        """The snapshot is complete before a pointer with the next number names it, and no pointer is replaced: a crash at any
+        point leaves the last complete snapshot. The KEPT newest snapshots stay for readers that began before.
+        """
         at = uuid.uuid4().hex
         df.write.partitionBy(*partition).parquet(f"{self.root}/{name}/{at}")
-        fs, new = self._fs(f"{self._pointer(name)}.{at}")
-        out = fs.create(new, True)
-        out.write(bytearray(json.dumps({"snapshot": at}).encode()))
-        out.close()
-        _, old = self._fs(self._pointer(name))
-        if fs.exists(old):
-            fs.delete(old, False)
-        if not fs.rename(new, old):
-            raise OSError(f"{self._pointer(name)} could not be replaced")
+        before = self._pointers(name)
+        fs, new = self._fs(f"{self.root}/{name}/{(before[-1][0] if before else 0) + 1:012d}.{at}.pointer")
+        fs.create(new, False).close()
+        for number, old in before[: len(before) + 1 - KEPT]:
+            fs.delete(self._fs(f"{self.root}/{name}/{number:012d}.{old}.pointer")[1], False)
+            fs.delete(self._fs(f"{self.root}/{name}/{old}")[1], True)
 
     def upsert(self, name: str, schema: str, new: DataFrame, keys: list[str]) -> None:
         self.overwrite(name, index.upsert(self.read(name, schema), new, keys))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.util
 import os
 import subprocess
 from collections.abc import Iterator
@@ -117,6 +118,20 @@ def pdf_text(path: str) -> str:
         return "\n\n".join(p.get_text() for p in pages)
 
 
+def reads_pdf() -> bool:
+    return importlib.util.find_spec("pymupdf") is not None
+
+
+def with_pdf_texts(files: DataFrame) -> DataFrame:
+    """files with the text of PDF files as their content, read on the executors."""
+
+    def run(frames):
+        for frame in frames:
+            yield frame.assign(content=[pdf_text(p) if e == ".pdf" else c for p, e, c in zip(frame["abs_path"], frame["ext"], frame["content"], strict=True)])
+
+    return files.mapInPandas(run, files.schema)
+
+
 def head_commit(root: str) -> str | None:
     """The commit that a folder's repository is at, or None."""
     try:

@@ -1,6 +1,7 @@
 import pytest
 
 from larkspur import cli
+from larkspur.engine import FACTS as engine_facts
 from larkspur.engine import Engine
 from larkspur.functions import providers
 from larkspur.sources import config as configs
@@ -46,9 +47,10 @@ def test_index_search_and_change(spark, project, tmp_path):
     engine.index()
     hits = engine.search(["alpha"], 2).collect()
     assert {h.file_path for h in hits} == {"docs/guide.md", "code/a.py"}
-    before = engine.store.snapshot("chunks")
-    engine.index()
-    assert engine.store.snapshot("chunks") == before
+    before = engine.store.snapshot("chunks/p-code")
+    assert engine.index() == {} and engine.store.snapshot("chunks/p-code") == before and engine.tracked_files() == 5
+    rates = {(r.project, r.kind): (r.fresh, r.stale, r.unknown, r.rate) for r in engine.stale_rates().collect()}
+    assert rates == {("p", "code"): (3, 0, 0, 0.0), ("p", "docs"): (2, 0, 0, 0.0)}
     code = project.projects["p"].code_dirs[0].path
     (tmp_path / "code/a.py").unlink()
     (tmp_path / "code/library/c.py").write_text("delta alpha\n")
@@ -61,6 +63,110 @@ def test_index_search_and_change(spark, project, tmp_path):
         engine.index("q")
 
 
+def test_another_model_keeps_keywords_until_it_is_indexed(spark, project, tmp_path):
+    Engine(spark, project, str(tmp_path / "store")).index()
+    other = Engine(spark, project, str(tmp_path / "store"), model="other")
+    assert {r.decision for r in other.plan_model(project.projects["p"]).collect()} == {"clear"}
+    hits = other.search(["alpha"], 2).collect()
+    assert {h.file_path for h in hits} == {"docs/guide.md", "code/a.py"}
+    assert other._vectors().isEmpty()
+    other.index()
+    assert other._vectors().count() == 5 and {r.model for r in other.store.read("markers", "collection string, model string").collect()} == {"other"}
+    assert {h.file_path for h in other.search(["alpha"], 2).collect()} == {"docs/guide.md", "code/a.py"}
+    (tmp_path / "docs").rename(tmp_path / "away")
+    third = Engine(spark, project, str(tmp_path / "store"), model="third")
+    assert {r.kind: r.decision for r in third.plan_model(project.projects["p"]).collect()} == {"code": "clear", "docs": "blocked"}
+    assert third.index() == {} and third.store.read("chunks/p-docs", "id string").count() == 2
+    shadow = third.build_shadow("p", "docs", "shadow-model", "s")
+    assert shadow.count() == 2 and third.build_shadow("p", "docs", "shadow-model", "s").count() == 2
+
+
+def test_declarations_folders_and_failed_batches(spark, project, tmp_path):
+    (tmp_path / "code/t.cs").write_text("class A\n{\n" + "    int x;\n" * 30 + "}\n\nclass B\n{\n" + "    int y;\n" * 30 + "}\n")
+    project.projects["p"].code_dirs[0].extensions.append(".cs")
+    engine = Engine(spark, project, str(tmp_path / "store"))
+    engine.index()
+    got = engine.store.read("chunks/p-code", "file_path string, start_line int, text string").filter("file_path = 'code/t.cs'").orderBy("start_line").collect()
+    assert [r.start_line for r in got] == [1, 35] and got[1].text.startswith("class B")
+    project.projects["p"].code_dirs[0].exclude_dirs.append("library")
+    engine.index()
+    assert engine.store.read("chunks/p-code", "file_path string").filter("file_path LIKE 'code/library/%'").isEmpty()
+    hidden = tmp_path / "docs/.notes/n.md"
+    hidden.parent.mkdir()
+    hidden.write_text("# Note\nkept by wish\n")
+    engine.index_document("p", str(hidden))
+    assert engine.store.read("chunks/p-docs", "file_path string").filter("file_path = 'docs/.notes/n.md'").count() == 1
+    with pytest.raises(ValueError, match="no folder"):
+        engine.index_document("p", "/etc/hosts")
+
+
+def test_snapshots_are_numbered_and_old_ones_go(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for k in range(6):
+        store.overwrite("t", spark.createDataFrame([(k,)], "k int"))
+        assert store.read("t", "k int").first().k == k
+    assert len(store._pointers("t")) == 3 and len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 3
+
+
+def test_prose_drift(spark, project, tmp_path, capsys):
+    # functions inside a function go to the executors whole
+    def extractor():
+        return lambda text: [tuple(x.split("|")) for x in text.split("\n") if x.count("|") == 2]
+
+    def judge():
+        return lambda claim, fact: '{"contradicts": true, "confidence": 0.9}' if "blue" in claim else "no idea"
+
+    (tmp_path / "docs/claims.md").write_text("# Claims\nsky|colour|green\nsea|colour|grey\nthe sky|has colour|blue\nsky|hue|grey\n")
+    engine = Engine(spark, project, str(tmp_path / "store"), extractor=extractor, judge=judge)
+    engine.index()
+    engine.store.overwrite("facts/p", spark.createDataFrame([("sky|colour", "sky", "colour", "blue", "s1", 2, True), ("sea|colour", "sea", "colour", "grey", "s2", 1, True), ("old|x", "old", "x", "y", "s0", 1, False)], engine_facts))
+    import larkspur.operators.drift as d
+
+    least, d.scan.__defaults__ = d.scan.__defaults__, (0.2, "")
+    try:
+        for calls in (2, 0):
+            found = engine.prose_drift("p")
+            rows = {(r.subject, r.match_type): (r.doc_object, r.fact_object, r.source) for r in found.drift.collect()}
+            assert rows == {("sky", "exact"): ("green", "blue", "docs/claims.md"), ("the sky", "semantic"): ("blue", "blue", "docs/claims.md")}
+            c = found.counters.first()
+            assert (c.facts_scanned, c.docs_scanned, c.judge_calls, c.cap_hit) == (2, 3, calls, False)
+    finally:
+        d.scan.__defaults__ = least
+    assert cli.prose_drift(engine, "p", 1) == 1 and cli.prose_drift(engine, "q", 1) == 2
+    assert cli.prose_drift(Engine(spark, project, str(tmp_path / "store")), "p", 1) == 3
+    project.projects["p"].prose_drift_enabled = False
+    assert cli.prose_drift(engine, "p", 1) == 2 and "green" in capsys.readouterr().out
+
+
+def test_query_cache_and_loaded_provider():
+    now, asked = [0.0], []
+
+    class Counting(providers.HashProvider):
+        def embed(self, texts, **more):
+            asked.extend(texts)
+            return super().embed(texts, **more)
+
+    cache = providers.QueryCache(most=2, clock=lambda: now[0])
+    for texts in (["a", "b", "a"], ["b"], ["c"], ["a"]):
+        assert len(cache.embed(Counting(), texts, "m")) == len(texts)
+    assert asked == ["a", "b", "c", "a"]
+    now[0] = 301
+    cache.embed(Counting(), ["a"], "m")
+    assert asked[-1] == "a" and len(asked) == 5
+    loaded = providers.LoadedProvider(lambda model: lambda texts: [[3.0 * len(t), 4.0 * len(t)] for t in texts], {"m": 2, "wide": 5}, "q: ")
+    assert loaded.embed(["xy"], model="m").embeddings == [[0.6, 0.8]]
+    for model, match in (("wide", "registered"), ("none", "unknown")):
+        with pytest.raises(ValueError, match=match):
+            loaded.embed(["x"], model=model)
+    assert providers.tokens_told(ValueError("has 91,234 tokens, more than")) == 91234 and providers.tokens_told(ValueError("no")) is None
+
+
+def test_older_config_form(tmp_path):
+    (tmp_path / "c.yaml").write_text("projects:\n  p:\n    code_dir: /x\n    extensions: [.py]\n    include_dirs: [a]\n    exclude_dirs: [b]\n  q:\n    code_dir: /x\n    code_dirs: [{path: /y, extensions: [.py]}]\n")
+    got = configs.load(str(tmp_path / "c.yaml")).projects
+    assert got["p"].code_dirs == [configs.CodeDir("/x", [".py"], ["a"], ["b"])] and [d.path for d in got["q"].code_dirs] == ["/y"]
+
+
 def test_cli(spark, project, tmp_path, capsys):
     top = ["--config", str(tmp_path / "c.yaml"), "--store", str(tmp_path / "s")]
     assert cli.main([*top, "project", "add", "p", "--code-dir", f"{tmp_path}/code:py", "--docs-dir", f"{tmp_path}/docs"]) == 0
