@@ -90,7 +90,9 @@ def judged(candidates: DataFrame, cache: DataFrame, judge: Callable[[], Callable
 
     keyed = candidates.withColumn("judge_key", F.sha2(F.concat_ws("\n", "claim_key", "fact_key", F.lit(model)), 256))
     hit, missed = with_cache(keyed, cache.select("judge_key", "reply"), ["judge_key"])
-    asked = keyed.join(missed, "judge_key", "left_semi").dropDuplicates(["judge_key"]).orderBy("judge_key").limit(remaining)
+    asked = keyed.join(missed, "judge_key", "left_semi").dropDuplicates(["judge_key"])
+    if missed.count() > remaining:
+        asked = asked.orderBy("judge_key").limit(remaining)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = judge()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import chunk, text
@@ -30,11 +30,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from larkspur.plans import upkeep  # noqa: F401 - registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(_SQL) if queries() else {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -222,8 +224,12 @@ def _markdown(spark, sf_dir, heading: bool) -> DataFrame:
     paragraphs = F.regexp_extract_all("html", F.lit("<p>([^<]*)</p>"), F.lit(1))
     if not heading:
         return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.array_join(paragraphs, "\n\n\n").alias("text"))
+    return _markdown_of(table(spark, sf_dir, "pages"), paragraphs)
+
+
+def _markdown_of(pages: DataFrame, paragraphs: Column) -> DataFrame:
     sections = F.array_join(F.transform(paragraphs, lambda p, i: F.concat(F.lit("## part "), i.cast("string"), F.lit("\n\n"), p)), "\n\n")
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("# "), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit("\n\n"), sections).alias("text"))
+    return pages.select(F.col("page_id").alias("id"), F.concat(F.lit("# "), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit("\n\n"), sections).alias("text"))
 
 
 _P_SQL = "SELECT page_id AS id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS ps FROM pages"
