@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import bm25, fusion, vector
@@ -23,40 +26,63 @@ def same_model(targets: DataFrame, markers: DataFrame, model: str) -> DataFrame:
     return targets.join(marked, "collection", "left").filter(F.col("recorded").isNull() | (F.col("recorded") == model)).drop("recorded")
 
 
-def _cut(hits: DataFrame, n: int) -> DataFrame:
-    """The n best of each target, ranked again in the targets' concatenation."""
-    order = Window.partitionBy("query_id").orderBy("target", "target_rank")
-    return hits.filter(F.col("target_rank") <= n).withColumn("rank", F.row_number().over(order))
+#: Hits of all queries that are sent to every task to meet their texts there; more are joined by a shuffle.
+MOST_HITS = 1_000_000
+
+
+def _ranked(hits: pd.DataFrame, most: int) -> list[tuple]:
+    """(id, lines, score) of one query in order, from the `most` best of each target's lists: fused, or by distance where no keyword was met."""
+    lists = []
+    for k in (0, 1):
+        mine = hits[(hits["list"] == k) & (hits["target_rank"] <= most)].sort_values(["target", "target_rank"], kind="stable")
+        lists.append(list(zip(mine["id"], mine["distance"], mine["lines"], strict=True)))
+    if not lists[1]:
+        far = [(d if d else math.inf, rank, i, lines) for rank, (i, d, lines) in enumerate(lists[0])]
+        return [(i, lines, None) for _, _, i, lines in sorted(far, key=lambda x: x[:2])]
+    found: dict = {}
+    for k, weight in enumerate((fusion.W_VECTOR, fusion.W_KEYWORD)):
+        for rank, (i, _, lines) in enumerate(lists[k], 1):
+            have = found.setdefault(i, [0.0, (k, rank), lines])
+            have[0] += weight / (fusion.K + rank)
+    scored = [(-round(score, fusion.PLACES), seen, i, lines) for i, (score, seen, lines) in found.items()]
+    return [(i, lines, -score) for score, _, i, lines in sorted(scored, key=lambda x: x[:3])]
 
 
-def _one_branch(vectors: DataFrame, keywords: DataFrame, texts: DataFrame, per_target: int, threshold: float) -> DataFrame:
-    v, k = _cut(vectors, per_target), _cut(keywords, per_target)
-    with_keywords = k.select("query_id").distinct()
-    fused = fusion.fuse(v.join(with_keywords, "query_id", "left_semi"), k).select("query_id", "id", "rank", "score")
-    plain = fusion.by_distance(v.join(with_keywords, "query_id", "left_anti")).select("query_id", "id", F.col("position").alias("rank"), F.lit(None).cast("double").alias("score"))
-    ranked = fused.union(plain)
-    kept = fusion.without_near_duplicates(ranked.join(texts.select("id", "text"), "id"), threshold)
-    return kept.join(ranked.select("query_id", "id", "score"), ["query_id", "id"])
+def _kept(ranked: list[tuple], threshold: float) -> list[tuple]:
+    """(id, score) without those that share more than threshold of their lines with one before them that is kept."""
+    kept: list[tuple] = []
+    for i, lines, score in ranked:
+        own = None if lines is None else set(lines)
+        if not any(own is not None and other is not None and len(own & other) / len(own | other) > threshold for _, _, other in kept):
+            kept.append((i, score, own))
+    return [(i, score) for i, score, _ in kept]
 
 
 def search(targets: list[DataFrame], queries: DataFrame, n: int = 5, threshold: float = fusion.SAME_LINES, path_filter: str | None = None, metric: str = "l2") -> DataFrame:
     """(query_id, id, score, rank) of hybrid search.
 
     targets, in order: DataFrames (id, text, embedding, path). queries: query_id, text, embedding. Each list gives 2 n
-    hits a target; a query of which fewer than n survive de-duplication takes 3 n instead. Both branches are cuts of
-    the same 3 n hits.
+    hits a target; a query of which fewer than n survive de-duplication takes 3 n instead. Both are cuts of the same
+    3 n hits, which meet their texts once; what follows is done for one query at a time, over at most 6 n hits a target.
+    Lines are compared by 64-bit hashes.
     """
-    vector_hits = keyword_hits = texts = None
+    hits = texts = None
     for place, target in enumerate(targets):
         rows = target.filter(F.col("path").contains(path_filter)) if path_filter is not None else target
-        v = vector.nearest(rows, queries, 3 * n, metric=metric).select("query_id", "id", "distance", F.col("rank").alias("target_rank"), F.lit(place).alias("target"))
-        k = bm25.search(target, queries, 3 * n, path="path", path_filter=path_filter).select("query_id", "id", F.col("rank").alias("target_rank"), F.lit(place).alias("target"))
+        v = vector.nearest(rows, queries, 3 * n, metric=metric).select("query_id", "id", F.lit(0).alias("list"), F.lit(place).alias("target"), F.col("rank").alias("target_rank"), "distance")
+        k = bm25.search(target, queries, 3 * n, path="path", path_filter=path_filter).select("query_id", "id", F.lit(1).alias("list"), F.lit(place).alias("target"), F.col("rank").alias("target_rank"), F.lit(None).cast("double").alias("distance"))
         t = target.select("id", "text")
-        vector_hits, keyword_hits, texts = (v, k, t) if texts is None else (vector_hits.union(v), keyword_hits.union(k), texts.union(t))
-    vector_hits, keyword_hits = vector_hits.cache(), keyword_hits.cache()
-    hit_ids = vector_hits.select("id").union(keyword_hits.select("id")).distinct()
-    texts = texts.join(hit_ids, "id", "left_semi")
-    two, three = (_one_branch(vector_hits, keyword_hits, texts, m * n, threshold) for m in (2, 3))
-    enough = two.groupBy("query_id").agg(F.count("*").alias("c")).filter(F.col("c") >= n).select("query_id")
-    chosen = two.join(enough, "query_id", "left_semi").unionByName(three.join(enough, "query_id", "left_anti"))
-    return chosen.filter(F.col("kept_rank") <= n).select("query_id", "id", "score", F.col("kept_rank").alias("rank"))
+        hits, texts = (v.union(k), t) if texts is None else (hits.union(v).union(k), texts.union(t))
+    few = queries.count() * 6 * n * len(targets) <= MOST_HITS
+    met = texts.join(F.broadcast(hits) if few else hits, "id")
+    met = met.withColumn("lines", F.array_distinct(F.transform(F.split("text", "\n"), lambda line: F.xxhash64(line)))).drop("text")
+
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        kept = _kept(_ranked(frame, 2 * n), threshold)
+        if len(kept) < n:
+            kept = _kept(_ranked(frame, 3 * n), threshold)
+        kept = kept[:n]
+        return pd.DataFrame({"query_id": frame["query_id"].iloc[0], "id": [i for i, _ in kept], "score": pd.Series([s for _, s in kept], dtype=float), "rank": range(1, len(kept) + 1)})
+
+    kinds = {c: met.schema[c].dataType.simpleString() for c in ("query_id", "id")}
+    return met.groupBy("query_id").applyInPandas(answer, f"query_id {kinds['query_id']}, id {kinds['id']}, score double, rank int")

@@ -148,7 +148,7 @@ def embedding_throughput(spark, sf_dir):
     f"""WITH tok AS (SELECT * FROM {terms_sql(DOCS_SQL)}), post AS (SELECT id, term, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT d.doc_id AS id, coalesce(n, 0) AS dl FROM documents d LEFT JOIN (SELECT id, count(*) AS n FROM tok GROUP BY id) t ON t.id = d.doc_id),
 stat AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM dl), raw AS (SELECT term, ln(n_docs - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, stat GROUP BY term, n_docs), w AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 q AS (SELECT id AS query_id, term, count(*) AS times FROM {terms_sql(ITEMS_SQL)} GROUP BY ALL)
-SELECT query_id, post.id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM q JOIN w USING (term) JOIN post USING (term) JOIN dl ON dl.id = post.id, stat GROUP BY ALL HAVING round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) > 0""",
+SELECT query_id, post.id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN w USING (term) JOIN post USING (term) JOIN dl ON dl.id = post.id, stat GROUP BY ALL HAVING round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) > 0""",
 )
 def okapi_scores(spark, sf_dir):
     return bm25.okapi_scores(documents(spark, sf_dir), passages(spark, sf_dir))
