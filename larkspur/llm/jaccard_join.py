@@ -276,10 +276,10 @@ def keep_one_of_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", *
     """One row of each component of rows: that of the smallest doc, null last. Repeated and null ids are rows like others."""
     rows = settle(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = settle(jaccard_components(rows, "__row", text, **more).select("__row", F.col("component_id").alias("of")), "components")
-    groups = found.join(found.filter("of <> __row").select("of").distinct(), "of", "left_semi")
-    named = groups.join(rows.select("__row", F.col(doc).alias("id")), "__row")
+    # a group of any size is reduced to its first row before it is shuffled; what follows is by row
+    named = found.join(rows.select("__row", F.col(doc).alias("id")), "__row")
     first = named.groupBy("of").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row"))["__row"].alias("first"))
-    gone = groups.join(first, "of").filter("__row <> first").select("__row")
+    gone = found.select("__row").join(settle(first, "first").select(F.col("first").alias("__row")), "__row", "left_anti")
     return semi_by_id(rows, settle(gone, "gone"), "__row", "__row", keep=False).drop("__row")
 
 
