@@ -10,13 +10,16 @@ shared lines tell little.
 
 Tags are read as HTML5 does: attribute values end at their own quote, a tag at its first > outside a value. A page is
 parsed once. Its main text goes on if the markup decides, else its lines; hashes of its lines go along for its neighbours.
-Pages are dealt out by ranges of (host, path, page), whose bounds come from a sample of the URLs, so that a host with a
-third of all pages is spread over tasks; a page at the edge of a range is compared with its one neighbour there.
+Pages are dealt out by ranges of (host, path, page), whose bounds come from a sample of the keys, so that a host with a
+third of all pages is spread over tasks. A range ends between two hosts, or else with a page that goes along to the next
+range too, so that every page meets the neighbour that it has in the order of all pages, wherever the bounds are: the page
+before it on its host, or for the first one the page after it.
 
 Edge cases: a null or empty page, or one without main text, gives the empty string; an unclosed or cut page is read as
 far as it goes; null URLs, and those without a host, are one host of empty name, whose pages are ordered by page; equal
 pages are compared with each other, and outside an article lose the lines they share unless all of their lines are
-shared, which is taken for a copy; equal URLs are ordered by page, null first; an empty table gives an empty result;
+shared, which is taken for a copy; an empty page is a neighbour like others and shares nothing; equal URLs are ordered by
+page, null first; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -25,7 +28,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -219,50 +222,60 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", source: s
     keys = own.select("host", "path", "page")
     share = min(1.0, 200 * tasks / max(1, keys.count()))
     seen = sorted((r[0], r[1], r[2] is not None, r[2]) for r in keys.sample(share, 17).collect())  # about 200 for each task
-    bounds = seen[:: max(1, len(seen) // (16 * tasks))]
+    step = max(1, len(seen) // (16 * tasks))
+    # (host,) comes before every page of the host; a whole key is that of a page which isn't its host's first
+    bounds = sorted({seen[k] if seen[k][0] == seen[k - 1][0] and seen[k] != seen[k - 1] else (seen[k][0],) for k in range(step, len(seen), step)})
+    whole = set(bounds)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
-                ranges, texts, lines, furniture, hashes = [], [], [], [], []
-                for p, h, w, x in zip(*(part.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
-                    found = blocks(x or "")
-                    texts.append(main_text(found))
-                    ranges.append(bisect_right(bounds, (h, w, p is not None, p)))
-                    lines.append([] if texts[-1] is not None else [f[0] for f in found])
-                    furniture.append([] if texts[-1] is not None else [f[2] for f in found])
-                    hashes.append([_hash(f[0]) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), *(part.column(k) for k in range(4)), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(furniture, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))], ["range", "page", "url", "host", "path", "text", "lines", "furniture", "hashes"])
+                rows, ranges, shadows, texts, lines, furniture, hashes = [], [], [], [], [], [], []
+                for i, (p, h, w, x) in enumerate(zip(*(part.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True)):
+                    found, key = blocks(x or ""), (h, w, p is not None, p)
+                    text = main_text(found)
+                    for n in range(1 + (key in whole)):
+                        rows.append(i)
+                        ranges.append(bisect_left(bounds, key) + n)
+                        shadows.append(bool(n))
+                        texts.append(text if not n else "")
+                        lines.append([f[0] for f in found] if text is None and not n else [])
+                        furniture.append([f[2] for f in found] if text is None and not n else [])
+                        hashes.append([_hash(f[0]) for f in found])
+                kept = part.take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(shadows, pa.bool_()), *(kept.column(k) for k in range(4)), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(furniture, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64()))], ["range", "shadow", "page", "url", "host", "path", "text", "lines", "furniture", "hashes"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None  # host and hashes of the last page told
+        before: tuple | None = None  # range and host, and hashes, of the page before
         held: tuple | None = None  # the page that waits for its successor
 
-        def told(row: tuple, after: tuple | None) -> tuple:
-            page, url, host, text, lines, furniture, hashes = row
+        def told(row: tuple, after: tuple | None) -> list[tuple]:
+            (place, shadow, page, url, host, text, lines, furniture, hashes), own = row, row[0:5:4]
+            if shadow:
+                return []
             if text is None:
-                other = before[1] if before and before[0] == host else after[6] if after and after[2] == host else []
+                other = before[1] if before and before[0] == own else after[8] if after and after[0:5:4] == own else []
                 text = without_shared(lines, furniture, hashes, other)
-            return page, url, text
+            return [(page, url, text)]
 
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
-                rows, out = zip(*(batch.slice(low, 500).column(k).to_pylist() for k in ("page", "url", "host", "text", "lines", "furniture", "hashes")), strict=True), []
+                rows, out = zip(*(batch.slice(low, 500).column(k).to_pylist() for k in ("range", "shadow", "page", "url", "host", "text", "lines", "furniture", "hashes")), strict=True), []
                 for row in rows:
                     if held is not None:
-                        out.append(told(held, row))
-                        before = (held[2], held[6])
+                        out += told(held, row)
+                        before = (held[0:5:4], held[8])
                     held = row
                 if out:
                     yield batch_of(out)
-        if held is not None:
-            yield batch_of([told(held, None)])
+        if held is not None and (out := told(held, None)):
+            yield batch_of(out)
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], types[0]), pa.array([r[1] for r in rows], types[1]), pa.array([r[2] for r in rows], pa.string()), pa.array([len(r[2]) for r in rows], pa.int64())], [page, url, "text", "n_chars"])
 
-    parsed = own.mapInArrow(cut, f"range int, page {kinds[page]}, url {kinds[url]}, host string, path string, text string, lines array<string>, furniture array<boolean>, hashes array<long>")
+    parsed = own.mapInArrow(cut, f"range int, shadow boolean, page {kinds[page]}, url {kinds[url]}, host string, path string, text string, lines array<string>, furniture array<boolean>, hashes array<long>")
     near = parsed.repartition("range").sortWithinPartitions("range", "host", "path", "page", "url")
     return near.mapInArrow(compare, f"`{page}` {kinds[page]}, `{url}` {kinds[url]}, text string, n_chars long")
 

@@ -332,10 +332,20 @@ def test_tags_end_where_the_standard_ends_them():
             assert got == tags(page), page
 
 
-def test_neighbours_decide_without_an_article(spark):
+@pytest.mark.parametrize("tasks", ["1", "3", "40"])
+def test_neighbours_decide_without_an_article(spark, tasks):
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        check_neighbours(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def check_neighbours(spark):
     plain = lambda host, k: f"<body><div>Top of {host}</div><p>Own text {k}</p><p>End of {host}</p></body>"
     rows = [(k, f"http://{h}/{k:03}" if h else None, plain(h, k)) for k in range(120) for h in [("a", "b", None)[k % 3]]]
-    rows += [(None, "http://a/000", None), (500, "http://c/", plain("c", 500)), (501, "no address", "x"), (7, "http://a/" + "y" * 5000, plain("a", 7))]
+    rows += [(None, "http://a/zzz", None), (500, "http://c/", plain("c", 500)), (501, "no address", "x"), (7, "http://a/" + "y" * 5000, plain("a", 7))]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
     assert len(got) == len(rows)
     for r in got:
