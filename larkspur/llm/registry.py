@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, html_text, image_copies, jaccard_join, language, packing, pii, quality, shards, token_counts
+from larkspur.llm import decontaminate, filter_audit, html_text, image_copies, jaccard_join, language, packing, pii, quality, shards, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.OP2_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL}
+    return {"op2_decontamination": decontaminate.OP2_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL, "op11_filter_audit": filter_audit.OP11_SQL}
