@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontaminate, filter_audit, html_text, image_copies, jaccard_join, language, packing, pii, prefix_trie, quality, shards, token_counts
+from larkspur.llm import decontaminate, filter_audit, html_text, image_copies, jaccard_join, language, licenses, packing, pii, prefix_trie, quality, shards, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,9 +25,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
         "op11_filter_audit": filter_audit.op11_filter_audit,
         "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_licenses": licenses.op13_licenses,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.OP2_SQL, "op10_jaccard_join": jaccard_join.OP10_SQL, "op11_filter_audit": filter_audit.OP11_SQL, "op12_prefix_trie": prefix_trie.OP12_SQL}
+    return {
+        "op2_decontamination": decontaminate.OP2_SQL,
+        "op10_jaccard_join": jaccard_join.OP10_SQL,
+        "op11_filter_audit": filter_audit.OP11_SQL,
+        "op12_prefix_trie": prefix_trie.OP12_SQL,
+        "op13_licenses": licenses.OP13_SQL,
+    }
