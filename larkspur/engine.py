@@ -47,7 +47,8 @@ class Engine:
         return reduce(DataFrame.union, (self.store.read(f"{table}/{p.collection(kind)}", schema) for p, kind in self._collections()), empty)
 
     def _vectors(self, model: str | None = None) -> DataFrame:
-        return self.store.read(f"vectors/{model or self.model}", VECTORS)
+        """One vector for each text, though two writers may have stored the same."""
+        return self.store.read(f"vectors/{model or self.model}", VECTORS).dropDuplicates(["content_hash"])
 
     def _roots(self, project: Project, kind: str) -> list[str]:
         return [d.path for d in project.code_dirs] if kind == "code" else [*project.docs_dirs, *(d.path for d in project.code_dirs)]
@@ -84,7 +85,7 @@ class Engine:
         missing = texts.join(self._vectors().select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.first("text").alias("text"))
         if not missing.isEmpty():
             made = providers.embed_missing(missing, self.config.embed_provider, self.model).filter("embedding IS NOT NULL")
-            self.store.overwrite(f"vectors/{self.model}", self._vectors().unionByName(made))
+            self.store.append(f"vectors/{self.model}", VECTORS, made, ["content_hash"])
 
     def plan_model(self, project: Project) -> DataFrame:
         """What the configured model asks of the project's collections: keep, backfill, clear or blocked."""
@@ -106,7 +107,7 @@ class Engine:
             decided = {r["kind"]: r["decision"] for r in plan.collect()}  # one row for each kind
             for kind in KINDS:
                 if decided[kind] == "clear":
-                    self.store.overwrite(f"manifest/{project.collection(kind)}", self.spark.createDataFrame([], MANIFEST))
+                    self.store.overwrite(f"manifest/{project.collection(kind)}", self.spark.createDataFrame([], MANIFEST), ["file_path"])
                 if decided[kind] != "blocked":
                     self._index_kind(project, kind)
             markers = upkeep.remodel_record(self.store.read("markers", MARKERS), plan, self.model)
@@ -138,10 +139,10 @@ class Engine:
             expected = done.select("file_path").join(fresh.groupBy("file_path").agg(F.countDistinct("id").alias("n")), "file_path", "left").fillna(0, ["n"])
             with_vector = fresh.join(self._vectors().select("content_hash"), "content_hash", "left_semi")
             complete = index.complete_files(expected, with_vector)
-            self.store.overwrite(f"chunks/{place}", stored.join(done.select("file_path"), "file_path", "left_anti").unionByName(fresh))
+            self.store.replace(f"chunks/{place}", CHUNKS, fresh, done, ["file_path"])
             # the manifest comes last: a file counts as indexed once all of its chunks have vectors
             rows = done.join(complete, "file_path", "left_semi").select(F.lit(place).alias("project"), "path", "file_path", "sha256")
-            self.store.overwrite(f"manifest/{place}", index.upsert(manifest.join(done.select("path"), "path", "left_anti"), rows, ["path"]))
+            self.store.replace(f"manifest/{place}", MANIFEST, rows, done, ["file_path"])
         finally:
             fresh.unpersist()
 
@@ -158,8 +159,8 @@ class Engine:
         present = files.select(F.concat_ws("/", "root", "rel").alias("file_path"))
         gone = index.deleted_sources(stored.select("file_path").union(manifest.select("file_path")).distinct(), known, present)
         if not gone.isEmpty():
-            self.store.overwrite(f"chunks/{place}", stored.join(gone, "file_path", "left_anti"))
-            self.store.overwrite(f"manifest/{place}", manifest.join(gone, "file_path", "left_anti"))
+            self.store.delete(f"chunks/{place}", CHUNKS, gone, ["file_path"])
+            self.store.delete(f"manifest/{place}", MANIFEST, gone, ["file_path"])
 
     def index_document(self, name: str, path: str) -> None:
         """One file, whatever its folder's rules leave out: its chunks take the place of those it had."""
@@ -174,9 +175,9 @@ class Engine:
         try:
             self._embed(fresh.select("content_hash", "text"))
             own = F.concat_ws("/", F.lit(owned["name"]), F.lit(owned["rel"]))
-            self.store.overwrite(f"chunks/{place}", self.store.read(f"chunks/{place}", CHUNKS).filter(F.col("file_path") != own).unionByName(fresh))
+            self.store.replace(f"chunks/{place}", CHUNKS, fresh, one.select(own.alias("file_path")), ["file_path"])
             rows = one.select(F.lit(place).alias("project"), F.col("abs_path").alias("path"), own.alias("file_path"), "sha256")
-            self.store.upsert(f"manifest/{place}", MANIFEST, rows, ["path"])
+            self.store.replace(f"manifest/{place}", MANIFEST, rows, rows, ["file_path"])
         finally:
             fresh.unpersist()
 
@@ -223,7 +224,7 @@ class Engine:
         have = self.store.read(f"shadow/{place}-{suffix}", schema)
         todo = upkeep.shadow_missing(self.store.read(f"chunks/{place}", CHUNKS), have).select(F.col("id").alias("content_hash"), "text")
         made = providers.embed_missing(todo, self.config.embed_provider, model).filter("embedding IS NOT NULL")
-        self.store.overwrite(f"shadow/{place}-{suffix}", have.unionByName(made.join(todo, "content_hash").select(F.col("content_hash").alias("id"), "text", "embedding")))
+        self.store.append(f"shadow/{place}-{suffix}", schema, made.join(todo, "content_hash").select(F.col("content_hash").alias("id"), "text", "embedding"), ["id"])
         return self.store.read(f"shadow/{place}-{suffix}", schema)
 
     def prose_drift(self, name: str, remaining: int = 500) -> drift.Drift:
@@ -236,7 +237,7 @@ class Engine:
         docs = upkeep.indexed_documents(self.store.read(f"chunks/{self._project(name).collection('docs')}", CHUNKS))
         cache = self.store.read("extracted", EXTRACTED)
         claims, extracted = drift.extract_cached(docs, cache, self.extractor, self.model)
-        self.store.overwrite("extracted", cache.unionByName(extracted))
+        self.store.upsert("extracted", EXTRACTED, extracted, ["text_sha", "model", "prompt_version"], by=["text_sha"])
         facts = self.store.read(f"facts/{name}", FACTS).filter("is_current")
         worded = lambda df: df.withColumn("fact", text.fact_text(F.col("subject"), F.col("predicate"), F.col("object"))).withColumn("content_hash", text.content_hash(F.col("fact")))
         claims, facts = worded(claims), worded(facts)
@@ -244,7 +245,7 @@ class Engine:
         vectors = self._vectors().select("content_hash", "embedding")
         replies = self.store.read("replies", REPLIES)
         found = drift.scan(claims.join(vectors, "content_hash").withColumnRenamed("file_path", "source"), facts.join(vectors, "content_hash"), docs, replies, self.judge, remaining, model=self.model)
-        self.store.overwrite("replies", replies.unionByName(found.replies.select("judge_key", "reply")))
+        self.store.upsert("replies", REPLIES, found.replies.select("judge_key", "reply"), ["judge_key"])
         return found
 
     def add_document(self, name: str, title: str, content: str) -> str:

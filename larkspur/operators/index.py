@@ -12,16 +12,19 @@ BATCH_TOKENS, BATCH_ITEMS = 80_000, 128
 
 
 def last_of_each(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """One row for each key: the last by order, or any where the rows have none."""
+    """One row for each key, the last by order. Without order no key may have two rows: which one counts couldn't be told, so that is an error."""
+    w = Window.partitionBy(*keys)
     if order is None:
-        return rows.dropDuplicates(keys)
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+        numbered = rows.withColumn("__n", F.count("*").over(w))
+        twice = F.raise_error(F.lit(f"rows with equal {', '.join(keys)} need an order"))
+        return numbered.filter(F.when(F.col("__n") == 1, True).otherwise(twice.cast("boolean"))).drop("__n")
+    return rows.withColumn("__n", F.row_number().over(w.orderBy(F.desc(order)))).filter("__n = 1").drop("__n")
 
 
 def upsert(target: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """target with new's rows in place of those with equal keys; of several new rows of a key the last by order counts."""
-    return target.join(new, keys, "left_anti").unionByName(last_of_each(new, keys, order))
+    last = last_of_each(new, keys, order)
+    return target.join(new, keys, "left_anti").unionByName(last if order in (None, *target.columns) else last.drop(order))
 
 
 def manifest_diff(files: DataFrame, manifest: DataFrame, path: str = "path", digest: str = "sha256") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from larkspur.functions import chunk, text
+from larkspur.operators import index
 from larkspur.sources.store import Store
 
 CHUNKS = "id string, file_path string, chunk_index int, start_line int, end_line int, chunk string, content_hash string"
@@ -22,14 +23,14 @@ def chunks_of(files: DataFrame) -> DataFrame:
 
 
 def keep_chunks(files: DataFrame, store: Store, name: str, checkpoint: str) -> StreamingQuery:
-    """Every micro-batch replaces the chunks of its files; a batch that is run again leaves the same snapshot."""
+    """Every micro-batch replaces the chunks of its files, in the buckets of these files alone; a batch that is run again leaves
+    the same rows. Of several versions of a file in one batch the one with the largest content counts, whichever came first."""
 
     def apply(batch: DataFrame, _: int) -> None:
         if batch.isEmpty():
             return
-        last = batch.dropDuplicates(["file_path"])
-        kept = store.read(name, CHUNKS).join(last.select("file_path"), "file_path", "left_anti")
-        store.overwrite(name, kept.unionByName(chunks_of(last)))
+        last = index.last_of_each(batch, ["file_path"], "content")
+        store.replace(name, CHUNKS, chunks_of(last), last, ["file_path"])
 
     return files.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -100,14 +100,6 @@ def test_declarations_folders_and_failed_batches(spark, project, tmp_path):
         engine.index_document("p", "/etc/hosts")
 
 
-def test_snapshots_are_numbered_and_old_ones_go(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
-    for k in range(6):
-        store.overwrite("t", spark.createDataFrame([(k,)], "k int"))
-        assert store.read("t", "k int").first().k == k
-    assert len(store._pointers("t")) == 3 and len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) == 3
-
-
 def test_prose_drift(spark, project, tmp_path, capsys):
     # functions inside a function go to the executors whole
     def extractor():
