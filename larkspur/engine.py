@@ -29,10 +29,11 @@ REPLIES = "judge_key string, reply string"
 class Engine:
     """Tables of a store: chunks and manifest of each collection, vectors of each model, markers, facts of each project, caches."""
 
-    def __init__(self, spark: SparkSession, config: Config, root: str, model: str = "hash-64", extractor: Callable | None = None, judge: Callable | None = None):
+    def __init__(self, spark: SparkSession, config: Config, root: str, model: str = "hash-64", extractor: Callable | None = None, judge: Callable | None = None, buckets: int = 16):
+        """buckets: how many a new table has; a change writes whole buckets, so that large collections want many."""
         self.spark, self.config, self.model = spark, config, model
         self.extractor, self.judge = extractor, judge
-        self.store, self.queries = Store(spark, root), providers.QueryCache()
+        self.store, self.queries = Store(spark, root, buckets), providers.QueryCache()
 
     def _project(self, name: str) -> Project:
         if name not in self.config.projects:

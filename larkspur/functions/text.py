@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,11 +18,18 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_BLANK}+|{_BLANK}+$", "")
 
 
+def _cut(text: Column, whole: Callable[[Column], Column]) -> Column:
+    """Unicode words, each split into its ASCII parts in lower case; a word without any becomes whole(word), an array."""
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    parts = lambda w: F.regexp_extract_all(w, F.lit(SUBWORD), F.lit(0))
+    # parts are of ASCII letters and digits alone, so that lower() may come after
+    cut = F.flatten(F.transform(words, lambda w: F.when(w.rlike("[A-Za-z0-9]"), F.transform(parts(w), F.lower)).otherwise(whole(w))))
+    return F.coalesce(cut, F.array().cast("array<string>"))
+
+
 def tokens(text: Column) -> Column:
     """Unicode words, each split into its ASCII parts and lower-cased; a word without any stays whole, in lower case."""
-    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    parts = lambda w: F.transform(F.regexp_extract_all(w, F.lit(SUBWORD), F.lit(0)), F.lower)
-    return F.coalesce(F.flatten(F.transform(words, lambda w: F.when(w.rlike("[A-Za-z0-9]"), parts(w)).otherwise(F.array(F.lower(w))))), F.array().cast("array<string>"))
+    return _cut(text, lambda w: F.array(F.lower(w)))
 
 
 def _folding() -> tuple[str, str]:
@@ -31,8 +39,9 @@ def _folding() -> tuple[str, str]:
 
 
 def terms(text: Column) -> Column:
-    """tokens as an index keeps them: without accents, and without those of underscores alone."""
-    return F.transform(F.filter(tokens(text), lambda t: ~t.rlike("^_+$")), lambda t: F.translate(t, *_folding()))
+    """tokens as an index keeps them: without accents, and without those of underscores alone. Parts of words have neither."""
+    fold = lambda w: F.translate(F.lower(w), *_folding())
+    return _cut(text, lambda w: F.when(w.rlike("^_+$"), F.array().cast("array<string>")).otherwise(F.array(fold(w))))
 
 
 def content_hash(text: Column) -> Column:

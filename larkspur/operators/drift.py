@@ -73,10 +73,11 @@ def exact_drift(claims: DataFrame, facts: DataFrame) -> DataFrame:
 def semantic_candidates(claims: DataFrame, facts: DataFrame, least: float = SIMILAR, claim: str = "claim_id") -> DataFrame:
     """(claim, chain_key, similarity): of claims whose chain has no fact, the nearest fact by cosine, if similar enough.
 
-    claims: claim, chain_key, embedding; facts: chain_key, embedding. Ties by chain_key. Rounded after the threshold.
+    claims: claim, chain_key, embedding; facts: chain_key, embedding. Ties by chain_key. Rounded after the threshold. Both
+    sides stay on executors, and the threshold rules out cells of facts before they are met.
     """
     missed = claims.join(facts.select("chain_key"), "chain_key", "left_anti")
-    best = vector.nearest(facts, missed, 1, id_="chain_key", query=claim, metric="cosine")
+    best = vector.nearest_join(facts, missed, 1, id_="chain_key", query=claim, metric="cosine", within=1 - least)
     return best.withColumn("similarity", 1 - F.col("distance")).filter(F.col("similarity") >= least).select(F.col("query_id").alias(claim), F.col("id").alias("chain_key"), F.round("similarity", 4).alias("similarity"))
 
 

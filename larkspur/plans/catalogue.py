@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import chunk, text
 from larkspur.operators import bm25, drift, evals, facts, fusion, index, metering, search, vector
+from larkspur.operators.keyword_index import KeywordIndex
+from larkspur.operators.vector_index import VectorIndex, recall
+from larkspur.sources.shared import built_once, session_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -51,6 +54,17 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def keyword_index(spark: SparkSession, sf_dir: str) -> KeywordIndex:
+    """Stored postings of all documents; queries of one session over the same table share them."""
+
+    def build(store) -> KeywordIndex:
+        made = KeywordIndex(store, "documents")
+        made.build(documents(spark, sf_dir))
+        return made
+
+    return built_once(spark, "keywords", f"{sf_dir}/documents.parquet", build)
+
+
 def tokens_sql(source: str) -> str:
     """Rows (id, ord, term) of source, which has id and text."""
     return f"""(SELECT id, word_at, unnest(CASE WHEN regexp_matches(word, '[A-Za-z0-9]') THEN list_transform(regexp_extract_all(regexp_replace(word, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+'), lambda x: lower(x)) ELSE [lower(word)] END) AS token
@@ -112,23 +126,47 @@ def corpus_stats(spark, sf_dir):
 
 @query("bm25_topk", f"WITH {bm25_sql(10)} SELECT query_id, id, score, rank FROM ranked")
 def bm25_topk(spark, sf_dir):
-    return bm25.search(documents(spark, sf_dir), passages(spark, sf_dir), 10)
+    return keyword_index(spark, sf_dir).search(passages(spark, sf_dir), 10)
 
 
 @query("bm25_path_filter", f"WITH {bm25_sql(10, keep="contains(path, 'src1')")} SELECT query_id, id, score, rank FROM ranked")
 def bm25_path_filter(spark, sf_dir):
-    return bm25.search(documents(spark, sf_dir), passages(spark, sf_dir), 10, path="path", path_filter="src1")
+    return keyword_index(spark, sf_dir).search(passages(spark, sf_dir), 10, path_filter="src1")
 
 
 @query("bm25_path_like", f"WITH {bm25_sql(10, keep="path ILIKE '%SRC_5%'")} SELECT query_id, id, score, rank FROM ranked")
 def bm25_path_like(spark, sf_dir):
-    return bm25.search(documents(spark, sf_dir), passages(spark, sf_dir), 10, path="path", path_filter="SRC_5", like=True)
+    return keyword_index(spark, sf_dir).search(passages(spark, sf_dir), 10, path_filter="SRC_5", like=True)
 
 
 @query("bm25_duplicate_terms", f"WITH {bm25_sql(10, items="(SELECT item_id AS id, text || ' ' || text AS text FROM benchmark)")} SELECT query_id, id, score, rank FROM ranked")
 def bm25_duplicate_terms(spark, sf_dir):
     twice = passages(spark, sf_dir).withColumn("text", F.concat_ws(" ", "text", "text"))
-    return bm25.search(documents(spark, sf_dir), twice, 10)
+    return keyword_index(spark, sf_dir).search(twice, 10)
+
+
+#: A quarter of the documents changed and a quarter gone: those of even ids lose their first 40 characters where the id is divisible by four, the others go.
+_CHANGED_SQL = "(SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN substr(text, 41) ELSE text END AS text, source AS path FROM documents WHERE doc_id % 4 <> 2)"
+
+
+def _changed_sql(sql: str) -> str:
+    return sql.replace(DOCS_SQL, _CHANGED_SQL).replace("dl AS (SELECT d.doc_id AS id, d.source AS path, coalesce(n, 0) AS dl FROM documents d LEFT JOIN (SELECT id, count(*) AS n FROM tok GROUP BY id) t ON t.id = d.doc_id)", f"dl AS (SELECT d.id, d.path, coalesce(n, 0) AS dl FROM {_CHANGED_SQL} d LEFT JOIN (SELECT id, count(*) AS n FROM tok GROUP BY id) t ON t.id = d.id)")
+
+
+def _changed_index(spark, sf_dir) -> KeywordIndex:
+    """An index of its own that has been built over all documents and then changed by an upsert and a delete."""
+    docs = documents(spark, sf_dir)
+    made = KeywordIndex(session_store(spark), "changed")
+    made.build(docs)
+    made.upsert(docs.filter("id % 4 = 0").withColumn("text", F.expr("substr(text, 41)")))
+    made.delete(docs.filter("id % 4 = 2").select("id"))
+    return made
+
+
+@query("bm25_after_changes", f"WITH {_changed_sql(bm25_sql(10))} SELECT query_id, id, score, rank FROM ranked")
+def bm25_after_changes(spark, sf_dir):
+    """Scores of a stored index after an upsert and a delete are those of the documents as they then are."""
+    return _changed_index(spark, sf_dir).search(passages(spark, sf_dir), 10)
 
 
 def _hundredths(spark, sf_dir):
@@ -150,6 +188,28 @@ def knn_filtered(spark, sf_dir):
     return vector.nearest(table(spark, sf_dir, "embeddings").filter("label = 3"), _hundredths(spark, sf_dir), 10, id_="vec_id")
 
 
+def _vector_index(spark, sf_dir) -> VectorIndex:
+    """Fitted on and built over half of the vectors, grown by an upsert of the others."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    made = VectorIndex(session_store(spark), "embeddings")
+    made.build(rows.filter("id % 2 = 0"), cells=32)
+    made.upsert(rows.filter("id % 2 = 1"))
+    return made
+
+
+@query("vector_index_topk", f"WITH {knn_sql(10)} SELECT * FROM near")
+def vector_index_topk(spark, sf_dir):
+    """The stored index with all of its cells probed misses nothing."""
+    return _vector_index(spark, sf_dir).search(_hundredths(spark, sf_dir), 10, probes=32)
+
+
+@query("vector_index_recall")
+def vector_index_recall(spark, sf_dir):
+    """One row (recall): of the ten nearest by a scan of all vectors, the share that half of the cells have."""
+    found = _vector_index(spark, sf_dir).search(_hundredths(spark, sf_dir), 10, probes=16)
+    return recall(found, knn_l2_topk(spark, sf_dir))
+
+
 @query("vector_fallback_sort", f"WITH {knn_sql(10)} SELECT query_id, id, distance, rank, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN distance = 0 THEN 'infinity'::DOUBLE ELSE distance END, rank)::INT AS position FROM near")
 def vector_fallback_sort(spark, sf_dir):
     return fusion.by_distance(knn_l2_topk(spark, sf_dir))
@@ -170,7 +230,7 @@ def _query_set(spark, sf_dir):
 def rrf_fuse(spark, sf_dir):
     asked = _query_set(spark, sf_dir)
     near = vector.nearest(table(spark, sf_dir, "embeddings"), asked, 20, id_="vec_id")
-    return fusion.fuse(near, bm25.search(documents(spark, sf_dir), passages(spark, sf_dir), 20))
+    return fusion.fuse(near, keyword_index(spark, sf_dir).search(passages(spark, sf_dir), 20))
 
 
 def dedup_sql(hits: str, name: str) -> str:
@@ -184,7 +244,7 @@ step_{name} AS (SELECT query_id, hits, 0 AS i, CAST([] AS STRUCT(rank INT, id BI
 @query("greedy_dedup", f"WITH RECURSIVE {bm25_sql(30)}, hits AS (SELECT query_id, r.id, rank, list_distinct(string_split(text, chr(10))) AS lines FROM ranked r JOIN documents d ON d.doc_id = r.id), {dedup_sql('hits', 'kept')} SELECT * FROM kept")
 def greedy_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    hits = bm25.search(docs, passages(spark, sf_dir), 30).join(docs.select("id", "text"), "id")
+    hits = keyword_index(spark, sf_dir).search(passages(spark, sf_dir), 30).join(docs.select("id", "text"), "id")
     return fusion.without_near_duplicates(hits)
 
 
@@ -343,17 +403,6 @@ def manifest_routing(spark, sf_dir):
     return index.route_manifest(_files(spark, sf_dir).select("path", "sha256"), roots)
 
 
-@query(
-    "batch_packing",
-    """WITH RECURSIVE d AS (SELECT source, doc_id, length(left(text, 16000)) // 2 AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
-s AS (SELECT source, doc_id, tokens, rn, 0::BIGINT AS batch, tokens AS used, 1 AS items FROM d WHERE rn = 1
- UNION ALL SELECT d.source, d.doc_id, d.tokens, d.rn, CASE WHEN s.used + d.tokens > 8000 OR s.items >= 16 THEN s.batch + 1 ELSE s.batch END, CASE WHEN s.used + d.tokens > 8000 OR s.items >= 16 THEN d.tokens ELSE s.used + d.tokens END, CASE WHEN s.used + d.tokens > 8000 OR s.items >= 16 THEN 1 ELSE s.items + 1 END FROM s JOIN d ON d.source = s.source AND d.rn = s.rn + 1)
-SELECT source, doc_id, tokens::BIGINT AS tokens, batch FROM s""",
-)
-def batch_packing(spark, sf_dir):
-    return index.packed(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", ["doc_id"], most_tokens=8000, most_items=16).drop("text")
-
-
 @query(
     "batch_packing_whole",
     f"""WITH RECURSIVE d AS (SELECT source, doc_id, length(left(text, {2 * index.BATCH_TOKENS})) // 2 AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
@@ -362,7 +411,7 @@ s AS (SELECT source, doc_id, tokens, rn, 0::BIGINT AS batch, tokens AS used, 1 A
 SELECT source, doc_id, tokens::BIGINT AS tokens, batch FROM s""",
 )
 def batch_packing_whole(spark, sf_dir):
-    """batch_packing with the operator's own limits, at which no text of up to 160,000 characters is cut."""
+    """The operator's own limits, at which no text of up to 160,000 characters is cut."""
     return index.packed(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "source", ["doc_id"]).drop("text")
 
 
@@ -418,17 +467,9 @@ def drift_exact(spark, sf_dir):
     return drift.exact_drift(claims.withColumn("subject", F.col("subject")), fact_current(spark, sf_dir)).select("subject", "object", "fact_object", "match_type")
 
 
-@query("drift_semantic", f"WITH {knn_sql(1, 'cosine', 'SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0', 'label >= 5 AND vec_id % 100 <> 0')} SELECT query_id AS claim_id, id AS chain_key, round(1 - distance, 4) AS similarity FROM near WHERE 1 - distance >= 0.4")
-def drift_semantic(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings")
-    known = v.filter("label >= 5 AND vec_id % 100 <> 0").select(F.col("vec_id").alias("chain_key"), "embedding")
-    claims = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("claim_id"), F.col("vec_id").alias("chain_key"), "embedding")
-    return drift.semantic_candidates(claims, known, 0.4)
-
-
 @query("drift_semantic_whole", f"WITH {knn_sql(1, 'cosine', 'SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0', 'vec_id % 100 <> 0')} SELECT query_id AS claim_id, id AS chain_key, round(1 - distance, 4) AS similarity FROM near WHERE 1 - distance >= {drift.SIMILAR}")
 def drift_semantic_whole(spark, sf_dir):
-    """drift_semantic over facts of all labels at the operator's own threshold: every vector is either a claim or a fact."""
+    """Facts of all labels at the operator's own threshold: every vector is either a claim or a fact."""
     v = table(spark, sf_dir, "embeddings")
     known = v.filter("vec_id % 100 <> 0").select(F.col("vec_id").alias("chain_key"), "embedding")
     claims = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("claim_id"), F.col("vec_id").alias("chain_key"), "embedding")
@@ -443,7 +484,7 @@ def user_messages(spark, sf_dir):
 def _scored(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir)
     cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.when(F.length("text") >= 220, "long").otherwise("short").alias("query_class"), F.array(F.substring("text", 1, 40)).alias("expected"))
-    hits = bm25.search(docs, passages(spark, sf_dir), 10).join(docs, "id").select(F.col("query_id").alias("case_id"), F.col("text").alias("source"), "rank")
+    hits = keyword_index(spark, sf_dir).search(passages(spark, sf_dir), 10).join(docs, "id").select(F.col("query_id").alias("case_id"), F.col("text").alias("source"), "rank")
     return evals.score_cases(cases, hits)
 
 

@@ -49,7 +49,7 @@ class Store:
     """Any number of writers: a commit is made by one of them, the others redo their change on top of it. Readers see the
     last commit, whole. Paths may be on any file system that Spark reads and that refuses to rename onto a file."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self, path: str):
@@ -204,14 +204,16 @@ class Store:
         """df in place of the whole table. It doesn't look at what is there, so the last writer's rows count."""
         return self.change(name, None, list(by), None, lambda _: df)
 
-    def append(self, name: str, schema: str, new: DataFrame, by: list[str]) -> int:
+    def append(self, name: str, schema: str, new: DataFrame, by: list[str], after: int | None = None) -> int:
         """Adds rows whose keys the caller knows to be new: their files come beside those of their buckets, which aren't read
-        unless there are too many files. Of two writers both rows stay."""
+        unless there are too many files. Of two writers both rows stay; with `after`, the number of the commit that the
+        caller has seen (0: none), it is a conflict where there is a newer one."""
         made = None
         for _ in range(TRIES):
             state = self.state(name)
-            if state is None:
-                return self.change(name, schema, by, None, lambda before: before.unionByName(new))
+            if after is not None and (state.number if state else 0) != after:
+                raise Conflict(name)
+            state = state or State(0, list(by), self.buckets if by else 1, {})
             made = made or self._write(name, new, state.by, state.buckets)
             if not made:
                 return state.number

@@ -59,13 +59,6 @@ def test_cosine_without_length(spark):
     assert [r[0] for r in df.select(vector.cosine(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0]
 
 
-def test_approximate_nearest_finds_the_vector_itself(spark):
-    rng = random.Random(2)
-    v = spark.createDataFrame([(k, [rng.random() for _ in range(8)]) for k in range(30)], "id int, embedding array<double>")
-    got = vector.approximate_nearest(v, v.select(F.col("id").alias("query_id"), "embedding"), 1)
-    assert all(r.id == r.query_id for r in got.collect()) and got.count() == 30
-
-
 def test_search_goes_on_to_three_n(spark):
     docs = [(k, "same\nlines\nword" if k < 4 else f"word number{k}\nother{k}", [float(k), 0.0], "p") for k in range(8)]
     target = spark.createDataFrame(docs, "id int, text string, embedding array<double>, path string")
