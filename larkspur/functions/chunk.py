@@ -77,6 +77,105 @@ def document_chunks(df: DataFrame, text: str = "text", least: int = LEAST_CHARS,
     return rows.withColumns({"title": F.col("__s.title"), "chunk": F.col("__s.body")}).drop("__s")
 
 
+#: What ends a run of plain code: quotes, slashes, braces, and in C# lines of the preprocessor.
+_STOPS = {True: re.compile(r"""[$@]*"|'|/[/*]|[{}]|^[ \t]*#[^\n]*""", re.MULTILINE), False: re.compile(r"""["'`{}]|/""")}
+#: Words after which a slash begins a regular expression, as an operator or an opening bracket does; a slash behind < ends a tag.
+_BEFORE_PATTERN = re.compile(r"(?:^|[^\w$.])(?:return|typeof|case|in|of|delete|void|throw|new|instanceof|yield|await|else|do)\s*$|[(,=:\[!&|?{};+\-*%~^>]\s*$|^\s*$")
+_PATTERN = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+_LINE_STRING = {'"': re.compile(r'"(?:\\.|[^"\\\n])*"'), "'": re.compile(r"'(?:\\.|[^'\\\n])*'")}
+
+_RUN = {'"': re.compile('"+'), "{": re.compile(r"\{+")}
+
+
+def _hole(text: str, at: int, kind: tuple) -> tuple[int, bool]:
+    """Where a string of this kind that is open at `at` goes on: (place behind its end, False) or (place in a hole with code, True)."""
+    name, quotes, dollars = kind
+    while at < len(text):
+        c = text[at]
+        if name == "template":
+            if c == "`":
+                return at + 1, False
+            if text.startswith("${", at):
+                return at + 2, True
+            at += 2 if c == "\\" else 1
+        elif name == "raw":
+            run = _RUN[c].match(text, at).end() - at if c in _RUN else 1
+            if c == '"' and run >= quotes:
+                return at + run, False
+            if c == "{" and dollars and run >= dollars:
+                return at + run, True
+            at += run
+        else:
+            if c == '"' and name == "verbatim" and text.startswith('""', at):
+                at += 2
+            elif c == '"' or (c == "\n" and name == "plain"):
+                return at + 1, False
+            elif c == "{" and dollars:
+                if not text.startswith("{{", at):
+                    return at + 1, True
+                at += 2
+            else:
+                at += 2 if c == "\\" and name == "plain" else 1
+    return at, False
+
+
+def quieted(text: str, extension: str) -> str:
+    """text with blanks in place of comments, strings, characters, templates and regular expressions; line ends stay.
+
+    Strings with holes (templates, interpolated strings) are left for the code in a hole and taken up again behind it, from a
+    stack; a hole's braces are none of the file's. A quote that nothing closes on its line is a sign like others.
+    """
+    sharp = extension == ".cs"
+    out, kept, at, holes = [], 0, 0, []  # holes: [kind of the string around, open braces]
+
+    def blank(a: int, b: int) -> None:
+        nonlocal kept
+        out.append(text[kept:a] if not holes else re.sub(r"[^\n]", " ", text[kept:a]))
+        out.append(re.sub(r"[^\n]", " ", text[a:b]))
+        kept = b
+
+    def string(a: int, b: int, kind: tuple) -> int:
+        """Takes a string from its opening a to b on, to its end or next hole."""
+        end, hole = _hole(text, b, kind)
+        blank(a, end)
+        if hole:
+            holes.append([kind, kind[2] if kind[0] == "raw" else 1])
+        return end
+
+    while found := _STOPS[sharp].search(text, at):
+        a, mark = found.start(), found[0]
+        at = found.end()
+        if mark in "{}":
+            if holes:
+                holes[-1][1] += 1 if mark == "{" else -1
+                if not holes[-1][1]:
+                    blank(kept, at)  # the code in the hole
+                    kind, _ = holes.pop()
+                    at = string(kept, at, kind)
+        elif text.startswith(("//", "/*"), a):
+            end = text.find("\n", a) if text[a + 1] == "/" else text.find("*/", a + 2)
+            at = len(text) if end < 0 else end + (2 if text[a + 1] == "*" else 0)
+            blank(a, at)
+        elif mark == "/":
+            if _BEFORE_PATTERN.search(text[max(kept, a - 60) : a]) and (m := _PATTERN.match(text, a)):
+                at = m.end()
+                blank(a, at)
+        elif mark == "`":
+            at = string(a, at, ("template", 0, 1))
+        elif sharp and mark.endswith('"') and text.startswith('"""', at - 1):
+            run = _RUN['"'].match(text, at - 1).end() - at + 1
+            at = string(a, at - 1 + run, ("raw", run, mark.count("$")))
+        elif sharp and mark[0] in "$@":
+            at = string(a, at, ("verbatim" if "@" in mark else "plain", 1, mark.count("$")))
+        elif sharp and mark.lstrip().startswith("#"):
+            blank(a, at)
+        elif m := _LINE_STRING[mark].match(text, a):
+            at = m.end()
+            blank(a, at)
+    blank(len(text), len(text))
+    return "".join(out)
+
+
 def declarations(text: str, extension: str) -> list[tuple[int, int]]:
     """First and last line (from 0) of outer declarations, by counting braces outside strings and comments.
 
@@ -85,7 +184,7 @@ def declarations(text: str, extension: str) -> list[tuple[int, int]]:
     words = DECLARATIONS.get(extension, ())
     if not words:
         return []
-    quiet = re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.DOTALL)
+    quiet = quieted(text, extension)
     begins = re.compile(rf"^\s*(?:\[[^\]]*\]\s*)*(?:(?:public|private|protected|internal|static|abstract|sealed|partial|readonly|async|declare|default|unsafe|file)\s+)*(?:{'|'.join(words)})\b")
     found, depth, open_at, open_depth, seen = [], 0, None, 0, False
     for n, line in enumerate(quiet.split("\n")):

@@ -1,11 +1,11 @@
 """A stored keyword index: postings by term in blocks of documents, each with the most that it can add to a score, so that
-searches read and score only the blocks that can reach the n best.
+large searches read and score only the blocks that can reach the n best.
 
 Tables of a Store, {name}/...:
 
     documents   id, path, dl, terms and change: what a change has added, by id
     dead        id, change, by_change: versions of documents that a later change has replaced or deleted
-    postings    term, block, change, most, least, rows: one block's documents with the term; by term
+    postings    term, block, change, most, least, docs, rows: one block's documents with the term; by term
     totals      term, df, change and n, dl (of the null term): what each change adds to counts, by term
     changes     change: what counts. A change that stopped before it stands here is not seen by any reader.
 
@@ -16,18 +16,24 @@ changes added. Scores are those of `bm25.search` over the live documents, bit fo
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import terms
 from larkspur.operators import bm25
+from larkspur.sources.shared import shared_dir
 from larkspur.sources.store import Conflict, Store
 
 #: Documents of a block, about.
 BLOCK = 128
 #: Blocks of a query that are scored first, to learn what score its n-th hit has at least.
 FIRST = 8
+#: Postings of all queries' terms up to which a search scores them all at once: bounds would cost more than they save.
+WHOLE = 50_000_000
 #: Replaced versions that are sent to every task; more are joined by a shuffle.
 MOST_DEAD = 500_000
 TRIES = 5
@@ -42,20 +48,25 @@ class KeywordIndex:
         self.store, self.name = store, name
         self.documents = f"id {id_kind}, path string, dl long, terms array<struct<term:string,tf:long>>, block int, change string"
         self.dead = f"id {id_kind}, change string, by_change string"
-        self.postings = f"term string, block int, change string, most long, least long, rows array<struct<id:{id_kind},path:string,tf:long,dl:long>>"
+        self.postings = f"term string, block int, change string, most long, least long, docs int, rows array<struct<id:{id_kind},path:string,tf:long,dl:long>>"
         self.totals = "term string, df long, n long, dl long, change string"
         self.changes = "change string, blocks int"
 
-    def _read(self, table: str, bucketed: bool = False) -> DataFrame:
+    def _counted(self) -> list[str]:
+        """Changes that count; `build` makes one of many."""
+        return [r["change"] for r in self.store.read(f"{self.name}/changes", self.changes).select("change").collect()]
+
+    def _read(self, table: str, counted: list[str], bucketed: bool = False) -> DataFrame:
         """Rows of the changes that count."""
         read = self.store.read_bucketed if bucketed else self.store.read
-        counted = F.broadcast(self.store.read(f"{self.name}/changes", self.changes).select(F.col("change").alias("by_change" if table == "dead" else "change")))  # a row for each change
-        rows = read(f"{self.name}/{table}", getattr(self, table))
-        return rows.join(counted, counted.columns[0], "left_semi")
+        return read(f"{self.name}/{table}", getattr(self, table)).filter(F.col("by_change" if table == "dead" else "change").isin(counted))
 
-    def _live(self, rows: DataFrame) -> DataFrame:
+    def _live(self, rows: DataFrame, counted: list[str]) -> DataFrame:
         """rows (id, change, ...) without replaced versions."""
-        dead = self._read("dead").select("id", "change")
+        state = self.store.state(f"{self.name}/dead")
+        if state is None or not state.parts:
+            return rows
+        dead = self._read("dead", counted).select("id", "change")
         small = dead.limit(MOST_DEAD + 1).count() <= MOST_DEAD
         return rows.join(F.broadcast(dead) if small else dead, ["id", "change"], "left_anti")
 
@@ -85,21 +96,19 @@ class KeywordIndex:
         tasks = self.store.spark.sparkContext.defaultParallelism
         # a file of one row group would be one task; larger inputs stay where they are
         docs = docs.repartition(tasks) if docs.rdd.getNumPartitions() < tasks else docs
-        # an inner explode would be preceded by a filter on its array, which cuts every document a second time
-        cut = docs.filter("id IS NOT NULL").select("id", "path", terms(F.col("text")).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
-        counted = cut.select("id", "path", "dl", F.explode_outer("ts").alias("term")).groupBy("id", "path", "dl", "term").agg(F.count("*").alias("tf"))
         block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-        forward = counted.groupBy("id", "path", "dl").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"))
-        self._append("documents", forward.select("id", "path", "dl", "terms", block.alias("block"), F.lit(change).alias("change")))
+        cut = docs.filter("id IS NOT NULL").select("id", "path", terms(F.col("text")).alias("ts"), block.alias("block"))
+        self._append("documents", _counts(cut, self.documents.rpartition(", ")[0]).withColumn("change", F.lit(change)))
         own = self.store.read(f"{self.name}/documents", self.documents).filter(F.col("change") == change)
         rows = own.select("id", "path", "dl", "block", F.explode("terms").alias("t")).select("id", "path", "dl", "block", "t.*")
-        blocked = rows.groupBy("term", "block").agg(F.max("tf").alias("most"), F.min("dl").alias("least"), F.sort_array(F.collect_list(F.struct("id", "path", "tf", "dl"))).alias("rows"))
-        self._append("postings", blocked.withColumn("change", F.lit(change)).select("term", "block", "change", "most", "least", "rows"))
-        self._total(own, change, 1)
+        blocked = rows.groupBy("term", "block").agg(F.max("tf").alias("most"), F.min("dl").alias("least"), F.count("*").cast("int").alias("docs"), F.collect_list(F.struct("id", "path", "tf", "dl")).alias("rows"))
+        self._append("postings", blocked.select("term", "block", F.lit(change).alias("change"), "most", "least", "docs", "rows"))
+        stored = self.store.read(f"{self.name}/postings", self.postings).filter(F.col("change") == change)
+        self._total(stored.groupBy("term").agg(F.sum("docs").alias("df")), own, change, 1)
 
-    def _total(self, own: DataFrame, change: str, sign: int) -> None:
+    def _total(self, frequencies: DataFrame, own: DataFrame, change: str, sign: int) -> None:
         none = F.lit(None).cast("long")
-        df = own.select(F.explode("terms.term").alias("term")).groupBy("term").agg((sign * F.count("*")).alias("df")).select("term", "df", none.alias("n"), none.alias("dl"))
+        df = frequencies.select("term", (sign * F.col("df")).alias("df"), none.alias("n"), none.alias("dl"))
         sums = own.agg((sign * F.count("*")).alias("n"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("dl")).select(F.lit(None).cast("string").alias("term"), none.alias("df"), "n", "dl")
         self._append("totals", df.union(sums).withColumn("change", F.lit(change)))
 
@@ -107,11 +116,12 @@ class KeywordIndex:
         for _ in range(TRIES):
             seen, change = self.store.state(f"{self.name}/changes"), uuid.uuid4().hex
             blocks = max(r["blocks"] for r in self.store.read(f"{self.name}/changes", self.changes).collect())  # a row for each change
-            old = self._live(self._read("documents").join(gone.select("id").distinct(), "id", "left_semi"))
+            counted = self._counted()
+            old = self._live(self._read("documents", counted).join(gone.select("id").distinct(), "id", "left_semi"), counted)
             self._append("dead", old.select("id", "change", F.lit(change).alias("by_change")))
-            # read back, as `old` would now be without what has just become dead in another change's eyes
             dead = self.store.read(f"{self.name}/dead", self.dead).filter(F.col("by_change") == change).select("id", "change")
-            self._total(self.store.read(f"{self.name}/documents", self.documents).join(dead, ["id", "change"], "left_semi"), change, -1)
+            left = self.store.read(f"{self.name}/documents", self.documents).join(dead, ["id", "change"], "left_semi")
+            self._total(left.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")), left, change, -1)
             if new is not None:
                 self._add(new, change, blocks)
             try:
@@ -128,14 +138,15 @@ class KeywordIndex:
     def delete(self, ids: DataFrame) -> None:
         self._change(ids, None)
 
-    def stats(self) -> DataFrame:
+    def stats(self, counted: list[str] | None = None) -> DataFrame:
         """One row (n_docs, avgdl)."""
-        sums = self._read("totals").filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.sum("dl").alias("dl"))
+        totals = self._read("totals", self._counted() if counted is None else counted)
+        sums = totals.filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_docs"), F.sum("dl").alias("dl"))
         return sums.select("n_docs", (F.col("dl") / F.when(F.col("n_docs") > 0, F.col("n_docs"))).alias("avgdl"))
 
-    def frequencies(self, wanted: DataFrame | None = None) -> DataFrame:
+    def frequencies(self, wanted: DataFrame | None = None, counted: list[str] | None = None) -> DataFrame:
         """(term, df) of the wanted terms, or of all."""
-        totals = self._read("totals", bucketed=wanted is not None)
+        totals = self._read("totals", self._counted() if counted is None else counted, bucketed=wanted is not None)
         if wanted is not None:
             totals = self._of_terms(totals, f"{self.name}/totals", wanted)
         return totals.filter("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
@@ -147,31 +158,64 @@ class KeywordIndex:
         small = names.limit(bm25.MOST_TERMS + 1).count() <= bm25.MOST_TERMS
         return rows.join(F.broadcast(names) if small else names, ["term", "bucket__"], "left_semi").drop("bucket__")
 
-    def search(self, queries: DataFrame, n: int = 5, path_filter: str | None = None, like: bool = False, first: int = FIRST) -> DataFrame:
-        """(query_id, id, score, rank) as bm25.search gives them for queries (query_id, text)."""
-        if self.store.state(f"{self.name}/postings") is None:
-            return bm25.top(bm25.query_terms(queries).select("query_id", F.lit(None).cast(self.documents.split(",")[0].split()[1]).alias("id"), F.lit(0.0).alias("score")).limit(0), n)
-        wanted = bm25.query_terms(queries)
-        stats = F.broadcast(self.stats())  # one row
-        weights = wanted.join(self.frequencies(wanted), "term").crossJoin(stats).select("query_id", "term", "avgdl", (F.col("times") * bm25.idf(F.col("n_docs"), F.col("df"))).alias("weight"))
-        stored = self._of_terms(self._read("postings", bucketed=True), f"{self.name}/postings", wanted)
+    def search(self, queries: DataFrame, n: int = 5, path_filter: str | None = None, like: bool = False, first: int = FIRST, whole: int = WHOLE) -> DataFrame:
+        """(query_id, id, score, rank) as bm25.search gives them for queries (query_id, text).
+
+        What is known of terms, of blocks and of the first hits is written to the checkpoint folder on the way.
+        """
+        shared_dir(self.store.spark)
+        counted = self._counted() if self.store.state(f"{self.name}/changes") else []
+        if not counted:
+            kind = self.documents.split(",")[0].split()[1]
+            return bm25.top(bm25.query_terms(queries).select("query_id", F.lit(None).cast(kind).alias("id"), F.lit(0.0).alias("score")).limit(0), n)
+        wanted = bm25.query_terms(queries).checkpoint()
+        stats = F.broadcast(self.stats(counted))  # one row
+        weights = wanted.join(self.frequencies(wanted, counted), "term").crossJoin(stats).select("query_id", "term", "avgdl", (F.col("times") * bm25.idf(F.col("n_docs"), F.col("df"))).alias("weight")).checkpoint()
+        small = weights.limit(bm25.MOST_TERMS + 1).count() <= bm25.MOST_TERMS
+        if small:
+            weights = F.broadcast(weights.withColumn("bucket__", Store.bucket(["term"], self.store.state(f"{self.name}/postings").buckets)))
+        stored = self._read("postings", counted, bucketed=True)
+        if not small:
+            stored = self._of_terms(stored, f"{self.name}/postings", wanted)
 
         def part(tf: Column, dl: Column) -> Column:
             return F.col("weight") * tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * dl / F.col("avgdl")))
 
-        bound = stored.select("term", "block", "most", "least").join(weights, "term").groupBy("query_id", "block", "term").agg(F.max(part(F.col("most"), F.col("least"))).alias("part"))
-        bound = bound.groupBy("query_id", "block").agg(F.sum("part").alias("bound"))
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
-        bound = bound.withColumn("place", place)
-
-        def scored(blocks: DataFrame) -> DataFrame:
-            met = stored.join(weights, "term").join(blocks.select("query_id", "block"), ["query_id", "block"])
-            hits = met.select("query_id", "change", "weight", "avgdl", F.explode("rows").alias("r")).select("query_id", "change", "weight", "avgdl", "r.*")
+        on = ["term", "bucket__"] if small else ["term"]
+        def scored(blocks: DataFrame | None) -> DataFrame:
+            met = stored.join(weights, on)
+            met = met if blocks is None else met.join(blocks.select("query_id", "block"), ["query_id", "block"])
+            hits = met.select("query_id", "change", "weight", "avgdl", F.explode("rows").alias("r")).select("query_id", "change", "weight", "avgdl", *[f"r.{c}" for c in (["id", "tf", "dl"] if path_filter is None else ["id", "tf", "dl", "path"])])
             if path_filter is not None:
                 hits = hits.filter(bm25.path_matches(F.col("path"), path_filter, like))
-            return self._live(hits).groupBy("query_id", "id").agg(F.round(F.sum(part(F.col("tf"), F.col("dl"))), bm25.PLACES).alias("score"))
+            return self._live(hits, counted).groupBy("query_id", "id").agg(F.round(F.sum(part(F.col("tf"), F.col("dl"))), bm25.PLACES).alias("score"))
+
+        if stored.select(*on, "docs").join(weights, on).agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0] <= whole:
+            return bm25.top(scored(None), n)
+        bound = stored.select(*on, "block", "most", "least").join(weights, on).groupBy("query_id", "block", "term").agg(F.max(part(F.col("most"), F.col("least"))).alias("part"))
+        bound = bound.groupBy("query_id", "block").agg(F.sum("part").alias("bound"))
+        bound = bound.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))).checkpoint()
 
-        best = bm25.top(scored(bound.filter(F.col("place") <= first)), n)
+        best = bm25.top(scored(bound.filter(F.col("place") <= first)), n).checkpoint()
         floor = best.groupBy("query_id").agg(F.max(F.when(F.col("rank") == n, F.col("score"))).alias("floor"))
         rest = bound.filter(F.col("place") > first).join(floor, "query_id", "left").filter(F.col("floor").isNull() | (F.col("bound") + SLACK >= F.col("floor")))
         return bm25.top(best.drop("rank").union(scored(rest)), n)
+
+
+def _counts(cut: DataFrame, schema: str) -> DataFrame:
+    """Documents (id, path, ts, block) with their length and the number of times that each term stands in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+        for batch in batches:
+            lists = batch.column(2)
+            offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.dictionary_encode()
+            codes, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+            of = np.repeat(np.arange(len(lists)), np.diff(offsets))
+            pairs, tf = np.unique(of * max(1, len(names)) + codes[offsets[0] : offsets[-1]], return_counts=True)
+            row, code = np.divmod(pairs, max(1, len(names)))
+            made = pa.StructArray.from_arrays([names.take(pa.array(code)).cast(pa.string()), pa.array(tf, pa.int64())], ["term", "tf"])
+            ends = np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(ends), made).cast(kind), batch.column(3)], ["id", "path", "dl", "terms", "block"])
+
+    return cut.mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators import bm25, fusion, vector
+from larkspur.operators.keyword_index import KeywordIndex
 
 
 def selected_targets(targets: DataFrame, project: str | None = None, kind: str | None = None, strict: bool = False) -> DataFrame:
@@ -58,10 +59,11 @@ def _kept(ranked: list[tuple], threshold: float) -> list[tuple]:
     return [(i, score) for i, score, _ in kept]
 
 
-def search(targets: list[DataFrame], queries: DataFrame, n: int = 5, threshold: float = fusion.SAME_LINES, path_filter: str | None = None, metric: str = "l2") -> DataFrame:
+def search(targets: list[DataFrame], queries: DataFrame, n: int = 5, threshold: float = fusion.SAME_LINES, path_filter: str | None = None, metric: str = "l2", keywords: list[KeywordIndex | None] | None = None) -> DataFrame:
     """(query_id, id, score, rank) of hybrid search.
 
-    targets, in order: DataFrames (id, text, embedding, path). queries: query_id, text, embedding. Each list gives 2 n
+    targets, in order: DataFrames (id, text, embedding, path); keywords: their stored keyword indexes, None where a target has
+    none and its texts are to be cut for the search. queries: query_id, text, embedding. Each list gives 2 n
     hits a target; a query of which fewer than n survive de-duplication takes 3 n instead. Both are cuts of the same
     3 n hits, which meet their texts once; what follows is done for one query at a time, over at most 6 n hits a target.
     Lines are compared by 64-bit hashes.
@@ -70,7 +72,9 @@ def search(targets: list[DataFrame], queries: DataFrame, n: int = 5, threshold:
     for place, target in enumerate(targets):
         rows = target.filter(F.col("path").contains(path_filter)) if path_filter is not None else target
         v = vector.nearest(rows, queries, 3 * n, metric=metric).select("query_id", "id", F.lit(0).alias("list"), F.lit(place).alias("target"), F.col("rank").alias("target_rank"), "distance")
-        k = bm25.search(target, queries, 3 * n, path="path", path_filter=path_filter).select("query_id", "id", F.lit(1).alias("list"), F.lit(place).alias("target"), F.col("rank").alias("target_rank"), F.lit(None).cast("double").alias("distance"))
+        stored = keywords[place] if keywords else None
+        k = stored.search(queries, 3 * n, path_filter) if stored else bm25.search(target, queries, 3 * n, path="path", path_filter=path_filter)
+        k = k.select("query_id", "id", F.lit(1).alias("list"), F.lit(place).alias("target"), F.col("rank").alias("target_rank"), F.lit(None).cast("double").alias("distance"))
         t = target.select("id", "text")
         hits, texts = (v.union(k), t) if texts is None else (hits.union(v).union(k), texts.union(t))
     few = queries.count() * 6 * n * len(targets) <= MOST_HITS

@@ -201,6 +201,27 @@ def declaration_chunks(spark, sf_dir):
     return files.lateralJoin(chunk.DeclarationChunks(F.col("content").outer(), F.lit(".cs"))).select("doc_id", "chunk_index", "start_line", "end_line", "chunk")
 
 
+_STRINGS_SQL = """'class A' || chr(10) || '{' || chr(10) || '    string s = $$' || repeat(chr(34), 3) || chr(10) || replace(replace(t, chr(34), ''), ' ', ' { ') || chr(10) || '    ' || repeat(chr(34), 3) || ';' || chr(10) || '    // }' || chr(10) || '    string v = @' || chr(34) || '}' || chr(34) || chr(34) || '}' || chr(34) || ';' || chr(10) || repeat('    int x;' || chr(10), 20) || '}' || repeat(chr(10), 5) || 'class B' || chr(10) || '{' || chr(10) || '    string i = $' || chr(34) || '{f(' || chr(34) || '}' || chr(34) || ')}}}' || chr(34) || ';' || chr(10) || repeat('    int y;' || chr(10), 20) || '}' || chr(10)"""
+
+
+@query(
+    "declaration_strings",
+    f"""WITH d AS (SELECT doc_id, replace(text, 'class', '') AS t FROM documents), f AS (SELECT doc_id, {_STRINGS_SQL} AS text FROM d), p AS (SELECT *, strpos(text, chr(10) || 'class B') AS b FROM f)
+SELECT doc_id, 0 AS chunk_index, 1 AS start_line, len(string_split(left(text, b - 1), chr(10)))::INT AS end_line, sha256(left(text, b - 1)) AS digest FROM p
+UNION ALL SELECT doc_id, 1, (len(string_split(left(text, b - 1), chr(10))) + 1)::INT, len(string_split(text, chr(10)))::INT, sha256(substr(text, b + 1)) FROM p""",
+)
+def declaration_strings(spark, sf_dir):
+    """Files whose classes hold whole documents as raw strings full of braces, and verbatim and interpolated strings with
+    others: a scanner that takes a brace of a string for one of the file's finds other declarations."""
+    parts = F.expr(
+        r"""concat('class A\n{\n    string s = $$\"\"\"\n', replace(replace(t, '"', ''), ' ', ' { '), '\n    \"\"\";\n    // }\n    string v = @\"}\"\"}\";\n', repeat('    int x;\n', 20),
+        '}\n\n\n\n\nclass B\n{\n    string i = $\"{f(\"}\")}}}\";\n', repeat('    int y;\n', 20), '}\n')"""
+    )
+    files = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("class"), F.lit("")).alias("t")).select("doc_id", parts.alias("content"))
+    made = files.lateralJoin(chunk.DeclarationChunks(F.col("content").outer(), F.lit(".cs")))
+    return made.select("doc_id", "chunk_index", "start_line", "end_line", F.sha2("chunk", 256).alias("digest"))
+
+
 _WHOLE_P_SQL = "SELECT page_id AS id, list_transform(regexp_extract_all(regexp_replace(html, '</?(b|br|a|i|em|strong|span)( [^>]*)?>', ' ', 'g'), '<p>([^<]*)', 1), lambda p: trim(p, chr(32) || chr(9) || chr(10) || chr(13))) AS ps FROM pages"
 
 

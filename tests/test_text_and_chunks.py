@@ -128,3 +128,52 @@ def test_bm25_is_that_of_sqlite(spark):
 def test_folding_is_that_of_unicode():
     a, b = text._folding()
     assert all(unicodedata.normalize("NFD", x)[0] == y for x, y in zip(a, b, strict=True)) and re.search("é", a)
+
+
+STRINGS = {
+    ".cs": [
+        'string s = """\n  { not "" code {{ \n   """;',
+        'string r = $$"""a {b} {{c + "}"}} "" """;',
+        'string v = @"a ""{"" \\";',
+        'string i = $"x {d["}"]} {{ {f(new { a = 1 })} {{";',
+        'string j = $@"{g("")} ""{{"" ";',
+        "char c = '{'; char q = '\\''; char d = '\"';",
+        "/* { \" */ // { '",
+        "#region it's {\n#endregion",
+    ],
+    ".ts": [
+        "const a = `x ${f({b: `}${`{`}`})} {`;",
+        "const r = /[/{]\\/{/g, q = a / b / c;",
+        "return /}/.test(x) || `{`;",
+        "const s = \"{\", t = '}\\'';",
+        "const j = <p>don't</p>; // {",
+        "const n = `\\`{\\${`;",
+    ],
+}
+
+
+@pytest.mark.parametrize(("extension", "line"), [(e, x) for e, lines in STRINGS.items() for x in lines])
+def test_braces_in_strings_are_none_of_the_files(extension, line):
+    pad = "    int x;\n" * 20
+    text = f"class A\n{{\n{line}\n{pad}}}\n\n\n\nclass B\n{{\n{pad}}}\n"
+    first = len(line.split("\n")) + 22
+    assert chunk.declarations(text, extension) == [(0, first), (first + 4, first + 26)]
+    quiet = chunk.quieted(text, extension)
+    assert [len(x) for x in quiet.split("\n")] == [len(x) for x in text.split("\n")] and quiet.count("{") == quiet.count("}") == 2
+
+
+def test_outer_declarations_of_nested_and_large_files():
+    nested = "using System;\n\nnamespace My\n{\n    public class Player\n    {\n        public int H { get; set; }\n        public void Hit(int a)\n        {\n            if (H < 0) H = 0;\n        }\n" + "        int z;\n" * 10 + "    }\n\n    public class Enemy\n    {\n        class Inner { }\n" + "        int z;\n" * 14 + "    }\n}\n"
+    texts = [c[3] for c in chunk.declaration_chunks(nested, ".cs")]
+    assert len(texts) == 2 and "Player" in texts[0] and "Hit" in texts[0] and "Inner" in texts[1]
+    ts = "\nexport function greet(name: string): string {\n    return `Hello, ${name}!`;\n}\n\nexport class UserService {\n    private users: Map<string, User> = new Map();\n" + "    add(user: User): void { this.users.set(user.id, user); }\n" * 14 + "}\n\ninterface User {\n    id: string;\n}\n"
+    texts = [c[3] for c in chunk.declaration_chunks(ts, ".tsx")]
+    assert len(texts) >= 2 and "greet" in texts[0] and any("UserService" in t for t in texts)
+    big = "public class Big\n{\n" + "".join(f"    void M{k}()\n    {{\n        var s = \"}}\";\n    }}\n" for k in range(160)) + "}"
+    assert len(chunk.declaration_chunks(big, ".cs")) >= 2
+
+
+def test_a_long_file_of_quotes_ends():
+    for extension in (".cs", ".ts"):
+        for sign in ('"', "'", "`", "/", '$"{', "`${", '"""', "{"):
+            assert len(chunk.quieted(sign * 40_000, extension)) == len(sign) * 40_000
