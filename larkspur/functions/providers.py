@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from larkspur.operators.index import BATCH_ITEMS, BATCH_TOKENS
 from larkspur.operators.upkeep import TOKENS_IN_ERROR
 
 
@@ -80,25 +81,84 @@ def tokens_told(error: Exception) -> int | None:
     return int(found[1].replace(",", "")) if found else None
 
 
-def embed_missing(texts: DataFrame, name: str, model: str, width: int | None = None, batch: int = 128, tries: int = 5, wait: float = 20.0) -> DataFrame:
+class TooManyTokens(Exception):
+    """The provider has refused a batch and named its tokens."""
+
+
+class Batches:
+    """Cuts texts, in order, into batches of at most so many estimated tokens and items. The estimate is mended by what each
+    batch turns out to have, as a moving average of characters a token; it never falls below half a token a character."""
+
+    def __init__(self, most_tokens: int = BATCH_TOKENS, most_items: int = BATCH_ITEMS):
+        self.most_tokens, self.most_items, self.ratio = most_tokens, most_items, None
+
+    def estimate(self, text: str) -> int:
+        return max(len(text) // 2, int(len(text) / self.ratio) if self.ratio else 0)
+
+    def learn(self, texts: list[str], tokens: int) -> None:
+        chars = sum(map(len, texts))
+        if tokens > 0 and chars:
+            self.ratio = chars / tokens if self.ratio is None else 0.8 * self.ratio + 0.2 * chars / tokens
+
+    def next(self, texts: list[str], at: int) -> int:
+        """Where the batch that begins at `at` ends; one text is a batch, whatever its tokens."""
+        end, used = at, 0
+        while end < len(texts) and end - at < self.most_items:
+            used += self.estimate(texts[end])
+            if end > at and used > self.most_tokens:
+                break
+            end += 1
+        return end
+
+
+def embedded(texts: list[str], own: EmbedProvider, model: str, batches: Batches, tries: int = 5, wait: float = 20.0) -> Iterator[tuple[int, int, list | None]]:
+    """(first, end, vectors) of the batches of texts, in order; vectors is None where all tries have failed.
+
+    A batch that the provider refuses with its number of tokens is halved, again if need be, and the estimate learns from it.
+    A single text that is refused is an error.
+    """
+
+    def call(a: int, b: int) -> Embedded:
+        try:
+            return own.embed(texts[a:b], model=model, input_type="document")
+        except Exception as e:
+            if b - a > 1 and (tokens := tokens_told(e)):
+                batches.learn(texts[a:b], tokens)
+                raise TooManyTokens from e
+            raise
+
+    at, halves = 0, []
+    while at < len(texts):
+        end = halves.pop() if halves else batches.next(texts, at)
+        try:
+            got = with_retries(lambda a=at, b=end: call(a, b), own.retryable_errors, tries, wait)
+        except TooManyTokens:
+            halves += [end, at + (end - at) // 2]
+            continue
+        except own.retryable_errors:
+            yield at, end, None
+        else:
+            batches.learn(texts[at:end], got.total_tokens)
+            yield at, end, got.embeddings
+        at = end
+
+
+def embed_missing(texts: DataFrame, name: str, model: str, width: int | None = None, most_items: int = BATCH_ITEMS, most_tokens: int = BATCH_TOKENS, tries: int = 5, wait: float = 20.0) -> DataFrame:
     """(model, content_hash, embedding) of texts (content_hash, text), which the caller has made distinct.
 
-    A batch that fails in all tries with an error that may pass is skipped: its embeddings are null, so that its files don't
-    count as complete and come again in the next run. Any other error fails the job.
+    Batches are bounded by estimated tokens and by items, see `embedded`. A batch that fails in all tries with an error that
+    may pass is skipped: its embeddings are null, so that its files don't count as complete and come again in the next run.
+    Any other error fails the job.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = provider(name)
+        own, batches = provider(name), Batches(most_tokens, most_items)
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                try:
-                    vectors = with_retries(lambda part=part: own.embed(list(part["text"]), model=model, input_type="document"), own.retryable_errors, tries, wait).embeddings
-                except own.retryable_errors:
-                    vectors = [None] * len(part)
+            for a, b, vectors in embedded(list(frame["text"]), own, model, batches, tries, wait):
+                vectors = [None] * (b - a) if vectors is None else vectors
                 if width is not None and any(v is not None and len(v) != width for v in vectors):
                     raise ValueError(f"{name} gave vectors of another width than {width}")
-                yield pd.DataFrame({"model": model, "content_hash": part["content_hash"], "embedding": [None if v is None else np.asarray(v, np.float32) for v in vectors]})
+                yield pd.DataFrame({"model": model, "content_hash": frame["content_hash"].iloc[a:b], "embedding": [None if v is None else np.asarray(v, np.float32) for v in vectors]})
 
     return texts.select("content_hash", "text").mapInPandas(run, "model string, content_hash string, embedding array<float>")
 
