@@ -203,3 +203,50 @@ def test_pipeline_keeps_columns_and_order(spark):
         made = stage(spark, docs, "/root/testdata/sf0.001")
         assert made.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_consensus_grows_with_the_matches():
+    """A lattice of dots matches itself in every way; votes for moves take the place of matches tried on all matches."""
+    import resource
+    import time
+
+    image = np.zeros((192, 192), np.float32)
+    for y in range(8, 184, 8):
+        for x in range(8, 184, 8):
+            image[y : y + 3, x : x + 3] = 200
+    places, parts = image_copies.descriptors(image)
+    tables = image_copies.HammingTables(np.zeros(len(places), int), places, parts)
+    row, other = tables.matches(parts)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.process_time()
+    n, scale, turn = image_copies.agreeing(places[row], places[other])
+    assert n > 100 and scale == 1.0 and abs(turn) < 1
+    assert time.process_time() - began < 10 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+
+
+def test_huge_headers_are_images_that_can_t_be_read():
+    import struct
+    import zlib
+
+    assert image_copies.decode(b"P5 99999999999 99999999999 255\n" + bytes(10)) is None
+    assert image_copies.decode(b"P6 " + b"9" * 5000 + b" 1 255\n") is None
+    assert image_copies.decode(b"P5 20000 20000 255\n" + bytes(10)) is None
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + bytes(4)
+    head = b"\x89PNG\r\n\x1a\n"
+    bomb = chunk(b"IDAT", zlib.compress(bytes(50_000_000)))
+    assert image_copies.decode(head + chunk(b"IHDR", struct.pack(">IIBBBBB", 2**31, 2**31, 8, 0, 0, 0, 0)) + bomb) is None
+    assert image_copies.decode(head + chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 4, 8, 0, 0, 0, 0)) + bomb).shape == (4, 4)
+    assert image_copies.decode(head + chunk(b"IHDR", struct.pack(">IIBBBBB", 0, 4, 8, 0, 0, 0, 0)) + bomb) is None
+
+
+def test_consensus_finds_a_moved_and_turned_set():
+    rng = np.random.default_rng(5)
+    a = np.column_stack([rng.uniform(0, 200, (60, 2)), np.ones(60), rng.uniform(-3, 3, 60)])
+    turn = 0.4
+    b = a.copy()
+    b[:, 0], b[:, 1] = 2 * (np.cos(turn) * a[:, 0] - np.sin(turn) * a[:, 1]) + 30, 2 * (np.sin(turn) * a[:, 0] + np.cos(turn) * a[:, 1]) - 12
+    b[:, 2], b[:, 3] = 2.0, a[:, 3] + turn
+    b[40:, :2] = rng.uniform(0, 200, (20, 2))
+    b[:, :2] += rng.uniform(-1.5, 1.5, (60, 2))
+    n, scale, angle = image_copies.agreeing(a, b)
+    assert 36 <= n <= 44 and scale == 2.0 and abs(angle - np.degrees(turn)) < 3
+    assert image_copies.agreeing(a[:0], b[:0])[0] == 0
