@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import chunk, providers, text
-from larkspur.operators import drift, index, search, upkeep
+from larkspur.operators import drift, index, metering, search, upkeep
 from larkspur.sources import tree
 from larkspur.sources.config import Config, Project
+from larkspur.sources.shared import shared_dir
 from larkspur.sources.store import Store
 
 KINDS = ("code", "docs")
@@ -23,17 +24,20 @@ MANIFEST = "project string, path string, file_path string, sha256 string"
 MARKERS = "collection string, model string"
 FACTS = "chain_key string, subject string, predicate string, object string, session_id string, version int, is_current boolean"
 EXTRACTED = "text_sha string, model string, prompt_version string, triples array<struct<subject:string,predicate:string,object:string>>"
+DOC_FACTS = "file_path string, subject string, predicate string, object string"
 REPLIES = "judge_key string, reply string"
 
 
 class Engine:
     """Tables of a store: chunks and manifest of each collection, vectors of each model, markers, facts of each project, caches."""
 
-    def __init__(self, spark: SparkSession, config: Config, root: str, model: str = "hash-64", extractor: Callable | None = None, judge: Callable | None = None, buckets: int = 16):
-        """buckets: how many a new table has; a change writes whole buckets, so that large collections want many."""
+    def __init__(self, spark: SparkSession, config: Config, root: str, model: str = "hash-64", extractor: Callable | None = None, judge: Callable | None = None, buckets: int = 16, cap: int = metering.DAILY_CAP, prices: list[tuple[str, float, float]] = ()):
+        """buckets: how many a new table has; a change writes whole buckets, so that large collections want many. cap: model
+        calls a day; prices: (prefix of the model's name, dollars a million tokens in, out)."""
         self.spark, self.config, self.model = spark, config, model
         self.extractor, self.judge = extractor, judge
         self.store, self.queries = Store(spark, root, buckets), providers.QueryCache()
+        self.ledger = metering.Ledger(self.store, cap, prices=prices)
 
     def _project(self, name: str) -> Project:
         if name not in self.config.projects:
@@ -134,9 +138,10 @@ class Engine:
         if todo.isEmpty():
             return
         fresh = self._chunks_of(project, kind, todo).cache()
+        # read more than once by every change of a table; without it, each would scan the sources again
+        done = todo.select(F.concat_ws("/", "root", "rel").alias("file_path"), F.col("abs_path").alias("path"), "sha256").cache()
         try:
             self._embed(fresh.select("content_hash", "text"))
-            done = todo.select(F.concat_ws("/", "root", "rel").alias("file_path"), F.col("abs_path").alias("path"), "sha256")
             expected = done.select("file_path").join(fresh.groupBy("file_path").agg(F.countDistinct("id").alias("n")), "file_path", "left").fillna(0, ["n"])
             with_vector = fresh.join(self._vectors().select("content_hash"), "content_hash", "left_semi")
             complete = index.complete_files(expected, with_vector)
@@ -146,6 +151,7 @@ class Engine:
             self.store.replace(f"manifest/{place}", MANIFEST, rows, done, ["file_path"])
         finally:
             fresh.unpersist()
+            done.unpersist()
 
     def _prune(self, project: Project, kind: str, files: DataFrame) -> None:
         """Chunks and manifest rows go of files that no scan of their root takes any more: deleted, excluded, moved out of scope, or
@@ -158,10 +164,13 @@ class Engine:
         roots = [(Path(d).name, d, Path(d).name in scanned) for d in dict.fromkeys(str(Path(r).resolve()) for r in self._roots(project, kind))]
         known = self.spark.createDataFrame(roots or [("", "", False)], "name string, path string, exists boolean")
         present = files.select(F.concat_ws("/", "root", "rel").alias("file_path"))
-        gone = index.deleted_sources(stored.select("file_path").union(manifest.select("file_path")).distinct(), known, present)
-        if not gone.isEmpty():
-            self.store.delete(f"chunks/{place}", CHUNKS, gone, ["file_path"])
-            self.store.delete(f"manifest/{place}", MANIFEST, gone, ["file_path"])
+        gone = index.deleted_sources(stored.select("file_path").union(manifest.select("file_path")).distinct(), known, present).cache()
+        try:
+            if not gone.isEmpty():
+                self.store.delete(f"chunks/{place}", CHUNKS, gone, ["file_path"])
+                self.store.delete(f"manifest/{place}", MANIFEST, gone, ["file_path"])
+        finally:
+            gone.unpersist()
 
     def index_document(self, name: str, path: str) -> None:
         """One file, whatever its folder's rules leave out: its chunks take the place of those it had."""
@@ -228,26 +237,41 @@ class Engine:
         self.store.append(f"shadow/{place}-{suffix}", schema, made.join(todo, "content_hash").select(F.col("content_hash").alias("id"), "text", "embedding"), ["id"])
         return self.store.read(f"shadow/{place}-{suffix}", schema)
 
-    def prose_drift(self, name: str, remaining: int = 500) -> drift.Drift:
+    def prose_drift(self, name: str) -> drift.Drift:
         """Where the indexed documents of a project contradict its current facts (table facts/{project}, FACTS).
 
-        Raises ValueError with the reason that preflight() names. Extracted facts and the judge's replies are kept.
+        Raises ValueError with the reason that preflight() names. Every call of extractor or judge is booked in the ledger
+        before it is made, and kept when it is done; where the day's cap doesn't allow all, the result is a partial one.
         """
         if reason := drift.preflight(name, {p.name: p.prose_drift_enabled for p in self.config.projects.values()}, self.extractor, self.judge):
             raise ValueError(reason)
+        capped = []
+
+        def grant(asked: DataFrame) -> DataFrame:
+            booked = self.ledger.book(asked, self.model)
+            capped.append(booked.count() < asked.distinct().count())
+            return booked
+
+        def keep(table: str, schema: str, keys: list[str]) -> Callable[[DataFrame], DataFrame]:
+            def stored(new: DataFrame) -> DataFrame:
+                new = new.checkpoint()  # asked once, whatever reads it
+                self.store.upsert(table, schema, new.select(*[c.split()[0] for c in schema.split(", ")]), keys, by=keys[:1])
+                self.ledger.done(new.select(F.col(keys[0]).alias("call_key"), "input_tokens", "output_tokens"))
+                return new
+
+            return stored
+
+        shared_dir(self.spark)
         docs = upkeep.indexed_documents(self.store.read(f"chunks/{self._project(name).collection('docs')}", CHUNKS))
-        cache = self.store.read("extracted", EXTRACTED)
-        claims, extracted = drift.extract_cached(docs, cache, self.extractor, self.model)
-        self.store.upsert("extracted", EXTRACTED, extracted, ["text_sha", "model", "prompt_version"], by=["text_sha"])
-        facts = self.store.read(f"facts/{name}", FACTS).filter("is_current")
+        claims, _ = drift.extract_cached(docs, self.store.read("extracted", EXTRACTED), self.extractor, self.model, grant=grant, keep=keep("extracted", EXTRACTED, ["text_sha", "model", "prompt_version"]))
         worded = lambda df: df.withColumn("fact", text.fact_text(F.col("subject"), F.col("predicate"), F.col("object"))).withColumn("content_hash", text.content_hash(F.col("fact")))
-        claims, facts = worded(claims), worded(facts)
+        self.store.overwrite(f"doc_facts/{name}", claims.select([c.split()[0] for c in DOC_FACTS.split(", ")]), ["file_path"])
+        claims = worded(self.store.read(f"doc_facts/{name}", DOC_FACTS))
+        facts = worded(self.store.read(f"facts/{name}", FACTS).filter("is_current"))
         self._embed(claims.select("content_hash", F.col("fact").alias("text")).union(facts.select("content_hash", "fact")))
         vectors = self._vectors().select("content_hash", "embedding")
-        replies = self.store.read("replies", REPLIES)
-        found = drift.scan(claims.join(vectors, "content_hash").withColumnRenamed("file_path", "source"), facts.join(vectors, "content_hash"), docs, replies, self.judge, remaining, model=self.model)
-        self.store.upsert("replies", REPLIES, found.replies.select("judge_key", "reply"), ["judge_key"])
-        return found
+        found = drift.scan(claims.join(vectors, "content_hash").withColumnRenamed("file_path", "source"), facts.join(vectors, "content_hash"), docs, self.store.read("replies", REPLIES), self.judge, 0, model=self.model, grant=grant, keep=keep("replies", REPLIES, ["judge_key"]))
+        return found._replace(counters=found.counters.withColumn("cap_hit", F.col("cap_hit") | F.lit(any(capped))))
 
     def add_document(self, name: str, title: str, content: str) -> str:
         """Writes {slug}.md to the project's first docs folder and indexes it; the file stays if that fails."""

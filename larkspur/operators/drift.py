@@ -42,25 +42,47 @@ def extract_facts(texts: DataFrame, extractor: Callable[[], Callable[[str], list
     return hashed.drop(text).join(once.mapInPandas(run, f"hash string, {TRIPLE}"), "hash").drop("hash")
 
 
-def extract_cached(texts: DataFrame, cache: DataFrame, extractor: Callable[[], Callable[[str], list[tuple[str, str, str]]]], model: str = "", version: str = "1") -> tuple[DataFrame, DataFrame]:
-    """Facts of texts (file_path, text, ...) as extract_facts gives them, and the new rows (text_sha, model, prompt_version, triples) of the cache.
+def _settled(new: DataFrame) -> DataFrame:
+    """new in the checkpoint folder, so that no lost executor has anything asked again."""
+    from larkspur.sources.shared import shared_dir
+
+    shared_dir(new.sparkSession)
+    return new.checkpoint()
+
+
+def _tokens(*texts: str) -> int:
+    """An estimate where a model doesn't tell: four characters a token."""
+    return sum(map(len, texts)) // 4
+
+
+Grant = Callable[[DataFrame], DataFrame]
+
+
+def extract_cached(texts: DataFrame, cache: DataFrame, extractor: Callable[[], Callable[[str], list[tuple[str, str, str]]]], model: str = "", version: str = "1", grant: Grant | None = None, keep: Grant = _settled) -> tuple[DataFrame, DataFrame]:
+    """Facts of texts (file_path, text, ...) as extract_facts gives them, and the new rows (text_sha, model, prompt_version, triples, input_tokens, output_tokens).
 
     Each different text is read once, and not at all where the cache has it for that model and prompt; that a text has no
-    facts is kept too. The join with the texts gives each file its facts whether they were cached or not.
+    facts is kept too. The join with the texts gives each file its facts whether they were cached or not. grant takes the
+    keys (call_key) that would be asked and gives those that may be; keep stores the new rows and gives them as stored.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         find = extractor()
         for frame in frames:
-            yield pd.DataFrame({"text_sha": frame["text_sha"], "triples": [[dict(zip(("subject", "predicate", "object"), t, strict=True)) for t in find(x)] for x in frame["text"]]}, columns=["text_sha", "triples"])
+            found = [[dict(zip(("subject", "predicate", "object"), t, strict=True)) for t in find(x)] for x in frame["text"]]
+            yield pd.DataFrame({"text_sha": frame["text_sha"], "triples": found, "input_tokens": [_tokens(x) for x in frame["text"]], "output_tokens": [_tokens(*(v for t in f for v in t.values())) for f in found]}, columns=["text_sha", "triples", "input_tokens", "output_tokens"])
 
     hashed = texts.filter("text IS NOT NULL").withColumn("text_sha", F.sha2("text", 256))
     own = cache.filter((F.col("model") == model) & (F.col("prompt_version") == version)).select("text_sha", "triples")
     missing = hashed.groupBy("text_sha").agg(F.first("text").alias("text")).join(own, "text_sha", "left_anti")
-    new = missing.mapInPandas(run, f"text_sha string, triples array<struct<{TRIPLE.replace(' string', ':string')}>>").cache()  # the caller stores it
-    known = own.unionByName(new)
+    if grant is not None:
+        missing = missing.join(grant(missing.select(F.col("text_sha").alias("call_key"))).withColumnRenamed("call_key", "text_sha"), "text_sha", "left_semi")
+    triples = f"array<struct<{TRIPLE.replace(' string', ':string')}>>"
+    new = missing.mapInPandas(run, f"text_sha string, triples {triples}, input_tokens long, output_tokens long")
+    new = keep(new.select("text_sha", F.lit(model).alias("model"), F.lit(version).alias("prompt_version"), "triples", "input_tokens", "output_tokens"))
+    known = own.unionByName(new.select("text_sha", "triples"))
     facts = hashed.drop("text").join(known, "text_sha").select(*[c for c in hashed.columns if c != "text"], F.explode("triples").alias("t")).select("*", "t.*").drop("t", "text_sha")
-    return facts, new.select("text_sha", F.lit(model).alias("model"), F.lit(version).alias("prompt_version"), "triples")
+    return facts, new
 
 
 def exact_drift(claims: DataFrame, facts: DataFrame) -> DataFrame:
@@ -81,27 +103,32 @@ def semantic_candidates(claims: DataFrame, facts: DataFrame, least: float = SIMI
     return best.withColumn("similarity", 1 - F.col("distance")).filter(F.col("similarity") >= least).select(F.col("query_id").alias(claim), F.col("id").alias("chain_key"), F.round("similarity", 4).alias("similarity"))
 
 
-def judged(candidates: DataFrame, cache: DataFrame, judge: Callable[[], Callable[[str, str], str]], remaining: int, model: str = "") -> tuple[DataFrame, DataFrame]:
-    """Candidates (claim_key, fact_key, ...) with verdict, confidence and error, and the new rows of the cache.
+def judged(candidates: DataFrame, cache: DataFrame, judge: Callable[[], Callable[[str, str], str]], remaining: int, model: str = "", grant: Grant | None = None, keep: Grant = _settled) -> tuple[DataFrame, DataFrame]:
+    """Candidates (claim_key, fact_key, ...) with verdict, confidence and error, and the new rows (judge_key, reply, input_tokens, output_tokens).
 
-    Pairs in the cache cost nothing; of the others the first `remaining` in order of their keys are judged, the rest
-    have cap_hit. A reply that is no verdict is an error of that row.
+    Pairs in the cache cost nothing; of the others those that grant allows are judged, or without it the first `remaining` in
+    order of their keys; the rest have cap_hit. A reply that is no verdict is an error of that row. keep stores the new rows,
+    and what follows reads them as stored.
     """
     from larkspur.functions.text import verdict
 
     keyed = candidates.withColumn("judge_key", F.sha2(F.concat_ws("\n", "claim_key", "fact_key", F.lit(model)), 256))
     hit, missed = with_cache(keyed, cache.select("judge_key", "reply"), ["judge_key"])
-    asked = keyed.join(missed, "judge_key", "left_semi").dropDuplicates(["judge_key"])
-    if missed.count() > remaining:
+    asked = keyed.select("judge_key", "claim_key", "fact_key").join(missed, "judge_key", "left_semi").dropDuplicates(["judge_key"])
+    if grant is not None:
+        asked = asked.join(grant(asked.select(F.col("judge_key").alias("call_key"))).withColumnRenamed("call_key", "judge_key"), "judge_key", "left_semi")
+    elif missed.count() > remaining:
         asked = asked.orderBy("judge_key").limit(remaining)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = judge()
         for frame in frames:
-            yield pd.DataFrame({"judge_key": frame["judge_key"], "reply": [ask(a, b) for a, b in zip(frame["claim_key"], frame["fact_key"], strict=True)]}, columns=["judge_key", "reply"])
+            replies = [ask(a, b) for a, b in zip(frame["claim_key"], frame["fact_key"], strict=True)]
+            used = [_tokens(a, b) for a, b in zip(frame["claim_key"], frame["fact_key"], strict=True)]
+            yield pd.DataFrame({"judge_key": frame["judge_key"], "reply": replies, "input_tokens": used, "output_tokens": [_tokens(r) for r in replies]}, columns=["judge_key", "reply", "input_tokens", "output_tokens"])
 
-    new = asked.select("judge_key", "claim_key", "fact_key").mapInPandas(run, "judge_key string, reply string").cache()
-    all_replies = hit.join(new.withColumnRenamed("reply", "new_reply"), "judge_key", "left").withColumn("reply", F.coalesce("reply", "new_reply")).drop("new_reply")
+    new = keep(asked.mapInPandas(run, "judge_key string, reply string, input_tokens long, output_tokens long"))
+    all_replies = hit.join(new.select("judge_key", F.col("reply").alias("new_reply")), "judge_key", "left").withColumn("reply", F.coalesce("reply", "new_reply")).drop("new_reply")
     out = all_replies.withColumn("verdict", verdict(F.col("reply")))
     return out.withColumns({"error": F.col("reply").isNotNull() & F.col("verdict").isNull(), "cap_hit": F.col("reply").isNull()}), new
 
@@ -122,13 +149,13 @@ class Drift(NamedTuple):
     replies: DataFrame
 
 
-def scan(claims: DataFrame, facts: DataFrame, docs: DataFrame, cache: DataFrame, judge: Callable[[], Callable[[str, str], str]], remaining: int, least: float = SIMILAR, model: str = "") -> Drift:
+def scan(claims: DataFrame, facts: DataFrame, docs: DataFrame, cache: DataFrame, judge: Callable[[], Callable[[str, str], str]], remaining: int, least: float = SIMILAR, model: str = "", grant: Grant | None = None, keep: Grant = _settled) -> Drift:
     """Claims of documents that contradict current facts.
 
     claims: subject, predicate, object, source, embedding. facts, one for each chain: subject, predicate, object, session_id,
     version, embedding. docs: the scanned chunks. A claim whose chain has a fact is compared with that fact alone; any other
     goes to the judge with the nearest fact, if that is similar enough. Replies in the cache (judge_key, reply) cost nothing,
-    `remaining` others are asked for; a reply that is no verdict is counted and left out.
+    `remaining` others are asked for, or those that grant allows (see judged); a reply that is no verdict is counted and left out.
     """
     known = facts.withColumn("chain_key", chain_key(F.col("subject"), F.col("predicate")))
     told = claim_keys(claims).withColumn("chain_key", chain_key(F.col("subject"), F.col("predicate"))).withColumnRenamed("object", "doc_object")
@@ -139,7 +166,7 @@ def scan(claims: DataFrame, facts: DataFrame, docs: DataFrame, cache: DataFrame,
     near = semantic_candidates(told.dropDuplicates(["claim_key"]), known, least, "claim_key")
     fact_key = canonical_key(F.col("fact_subject"), F.col("fact_predicate"), F.col("fact_object"))
     pairs = near.join(fact, "chain_key").withColumn("fact_key", fact_key)
-    answers, replies = judged(pairs, cache, judge, remaining, model)
+    answers, replies = judged(pairs, cache, judge, remaining, model, grant, keep)
     yes = answers.filter("verdict.contradicts").withColumn("confidence", F.col("verdict.confidence")).drop("chain_key")
     semantic = told.select("claim_key", "subject", "predicate", "doc_object", "source").join(yes, "claim_key").withColumn("match_type", F.lit("semantic"))
     # equal claims of several chunks are rows of their own

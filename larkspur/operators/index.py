@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.paths import prefixes_of
+
 BATCH_TOKENS, BATCH_ITEMS = 80_000, 128
 
 
@@ -110,9 +112,10 @@ def remodel_decision(kind: Column, recorded: Column, model: Column, roots_presen
 
 def route_manifest(entries: DataFrame, roots: DataFrame) -> DataFrame:
     """(path, sha256, project): the first project, in order, of which a root's path begins the key; else _orphaned."""
-    r = F.broadcast(roots.select("project", "root", "place"))  # one row for each configured folder
-    joined = entries.join(r, F.col("path").startswith(F.col("root")), "left")
-    return joined.groupBy("path", "sha256").agg(F.coalesce(F.min_by("project", "place"), F.lit("_orphaned")).alias("project"))
+    r = roots.select("project", "root", "place")
+    begun = entries.select("path", "sha256", F.explode_outer(prefixes_of(F.col("path"), r, "root")).alias("root"))
+    # a beginning that is no root has no place, which min_by leaves out
+    return begun.join(r, "root", "left").groupBy("path", "sha256").agg(F.coalesce(F.min_by("project", "place"), F.lit("_orphaned")).alias("project"))
 
 
 def estimate_tokens(length: Column, ratio: Column | None = None) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.paths import ancestors
 from larkspur.operators.evals import stale_stats
 from larkspur.operators.index import remodel_decision
 
@@ -44,8 +45,8 @@ def owning_root(files: DataFrame, roots: DataFrame) -> DataFrame:
 
     A file given by its owner is wanted whatever the root's excluded or hidden folders are.
     """
-    r = F.broadcast(roots.select("name", F.col("path").alias("root_path"), "place"))  # one row for each configured folder
-    held = files.join(r, F.col("abs_path").startswith(F.concat("root_path", F.lit("/"))))
+    r = roots.select("name", F.col("path").alias("root_path"), "place")
+    held = files.withColumn("root_path", F.explode(ancestors(F.col("abs_path")))).join(r, "root_path").select(*files.columns, *r.columns)
     first = F.row_number().over(Window.partitionBy("abs_path").orderBy("place"))
     rel = F.substring("abs_path", F.length("root_path") + 2, F.length("abs_path"))
     return held.withColumn("__n", first).filter("__n = 1").withColumn("rel", rel).drop("__n", "place")

@@ -6,12 +6,14 @@ import hashlib
 import importlib.util
 import os
 import subprocess
+import time
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.window import Window
 
 FILES = "root string, rel string, abs_path string, ext string, sha256 string, mtime double, content string"
@@ -23,52 +25,138 @@ def is_hidden(parts: tuple[str, ...]) -> bool:
     return any(p.startswith(".") for p in parts[:-1])
 
 
+class Scan(NamedTuple):
+    """What files of a root are taken: of the extensions, in an included folder if any is given, in no excluded or hidden one."""
+
+    root: str
+    extensions: tuple[str, ...]
+    include: tuple[str, ...] = ()
+    exclude: tuple[str, ...] = ()
+
+    def starts(self) -> list[str]:
+        """Folders to begin in; one inside another is not begun in twice."""
+        top = Path(self.root).resolve()
+        found = sorted({(top / d) for d in self.include if (top / d).is_dir()}) if self.include else [top]
+        return [str(f) for f in found if not any(f != g and f.is_relative_to(g) for g in found)]
+
+    def takes(self, path: Path) -> bool:
+        top = Path(self.root).resolve()
+        return path.suffix in self.extensions and not is_hidden(path.relative_to(top).parts) and not any(path.resolve().is_relative_to((top / d).resolve()) for d in self.exclude)
+
+    def folders(self, folder: str) -> tuple[list[str], list[str]]:
+        """Open folders and names of files of one folder, in order."""
+        inner, names = [], []
+        with os.scandir(folder) as entries:
+            for e in entries:
+                if e.is_dir(follow_symlinks=False):
+                    if not e.name.startswith("."):
+                        inner.append(e.path)
+                else:
+                    names.append(e.name)
+        return sorted(inner), sorted(names)
+
+    def files(self, folder: str, deep: bool) -> Iterator[Path]:
+        """Files of a folder, and of those below it if deep. A folder that is gone has none."""
+        try:
+            inner, names = self.folders(folder)
+        except OSError:
+            return
+        for name in names:
+            if self.takes(path := Path(folder, name)):
+                yield path
+        for f in inner if deep else ():
+            yield from self.files(f, True)
+
+
 def walk(root: str, extensions: list[str], include: list[str] = (), exclude: list[str] = ()) -> Iterator[Path]:
-    """Files below root in order: of the extensions, in an included folder if any is given, in no excluded or hidden one."""
-    top = Path(root).resolve()
-    starts = [top / d for d in include if (top / d).is_dir()] if include else [top]
-    barred = [(top / d).resolve() for d in exclude]
-    seen = set()
-    for start in starts:
-        for folder, folders, names in os.walk(start):
-            folders[:] = sorted(d for d in folders if not d.startswith("."))
-            for name in sorted(names):
-                path = Path(folder, name)
-                real = path.resolve()
-                if path.suffix in extensions and path not in seen and not any(real.is_relative_to(b) for b in barred) and not is_hidden(path.relative_to(top).parts):
-                    seen.add(path)
-                    yield path
+    """Files of a scan, in order of their folders."""
+    scan = Scan(root, tuple(extensions), tuple(include), tuple(exclude))
+    for start in scan.starts():
+        yield from scan.files(start, True)
 
 
 class _Part(InputPartition):
-    def __init__(self, root: str, paths: list[str]):
-        self.root, self.paths = root, paths
+    """A folder to list on an executor, with all below it or alone; of its files those of one share. since, upto: times of change."""
+
+    def __init__(self, folder: str, deep: bool, share: int = 0, shares: int = 1, since: float | None = None, upto: float | None = None):
+        self.folder, self.deep, self.share, self.shares, self.since, self.upto = folder, deep, share, shares, since, upto
+
+
+class _Lister:
+    """Cuts a scan into folders, and reads the files of one. The driver lists folders only until there are enough of them."""
+
+    def __init__(self, options: dict):
+        split = lambda k: tuple(x for x in options.get(k, "").split(",") if x)
+        self.scan = Scan(str(Path(options["path"]).resolve()), split("extensions"), split("include"), split("exclude"))
+        self.enough, self.size = int(options.get("folders", 64)), int(options.get("filesPerPartition", 200))
+
+    def parts(self, since: float | None = None, upto: float | None = None) -> list[_Part]:
+        waiting, done = [f for f in self.scan.starts() if os.path.isdir(f)], []
+        while waiting and len(waiting) + len(done) < self.enough:
+            folder = waiting.pop(0)
+            try:
+                inner, names = self.scan.folders(folder)
+            except OSError:
+                continue
+            shares = -(-len(names) // self.size)
+            done += [_Part(folder, False, k, shares, since, upto) for k in range(shares)]
+            waiting += inner
+        return [*done, *(_Part(f, True, since=since, upto=upto) for f in waiting)] or [_Part(self.scan.root, False, 0, 1, since, since)]
+
+    def rows(self, part: _Part) -> Iterator[tuple]:
+        root = self.scan.root
+        for path in self.scan.files(part.folder, part.deep):
+            if part.shares > 1 and int(hashlib.md5(path.name.encode("utf-8", "surrogateescape")).hexdigest()[:8], 16) % part.shares != part.share:
+                continue
+            try:
+                stat = path.stat()
+                changed = max(stat.st_mtime, stat.st_ctime)  # a file moved here keeps its time of change, but not that of its entry
+                if (part.since is not None and changed <= part.since) or (part.upto is not None and changed > part.upto):
+                    continue
+                raw = path.read_bytes()
+            except OSError:
+                continue  # gone since it was listed
+            yield os.path.basename(root), path.relative_to(root).as_posix(), str(path), path.suffix, hashlib.sha256(raw).hexdigest(), stat.st_mtime, raw.decode("utf-8", "replace")
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options = options
+        self.lister = _Lister(options)
 
     def partitions(self):
-        split = lambda k: [x for x in self.options.get(k, "").split(",") if x]
-        root = str(Path(self.options["path"]).resolve())
-        paths = [str(p) for p in walk(root, split("extensions"), split("include"), split("exclude"))]
-        size = int(self.options.get("filesPerPartition", 200))
-        return [_Part(root, paths[i : i + size]) for i in range(0, len(paths), size)] or [_Part(root, [])]
+        return self.lister.parts()
 
     def read(self, partition):
-        for p in partition.paths:
-            path = Path(p)
-            try:
-                raw = path.read_bytes()
-            except OSError:
-                continue  # gone since the walk
-            name = os.path.basename(partition.root)
-            yield name, path.relative_to(partition.root).as_posix(), p, path.suffix, hashlib.sha256(raw).hexdigest(), path.stat().st_mtime, raw.decode("utf-8", "replace")
+        return self.lister.rows(partition)
+
+
+class _Stream(DataSourceStreamReader):
+    """Files as they are added or changed: an offset is a time, and a batch has what changed after one and up to the other.
+    Files of the last `lag` seconds wait for the next batch, as they may still be written."""
+
+    def __init__(self, options: dict):
+        self.lister, self.lag = _Lister(options), float(options.get("lag", 1.0))
+
+    def initialOffset(self) -> dict:
+        return {"upto": 0.0}
+
+    def latestOffset(self) -> dict:
+        return {"upto": time.time() - self.lag}
+
+    def partitions(self, start: dict, end: dict):
+        return self.lister.parts(start["upto"], end["upto"])
+
+    def read(self, partition):
+        return self.lister.rows(partition)
 
 
 class SourceTree(DataSource):
-    """spark.read.format("source_tree").option("extensions", ".py,.cs").load(root)"""
+    """spark.read.format("source_tree").option("extensions", ".py,.cs").load(root), or readStream. Further options: include,
+    exclude, folders (that the driver lists at most), filesPerPartition, lag.
+
+    The extensions are an option, as filters aren't pushed into the reader: Spark 4.1 keeps the filters that a Python source
+    has taken for all scans of it in a plan, so that a union of two differently filtered halves would lose rows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -80,6 +168,15 @@ class SourceTree(DataSource):
     def reader(self, schema):
         return _Reader(dict(self.options))
 
+    def streamReader(self, schema):
+        return _Stream(dict(self.options))
+
+
+def stream_tree(spark: SparkSession, root: str, extensions: list[str], lag: float = 1.0) -> DataFrame:
+    """Files of a tree as a stream."""
+    spark.dataSource.register(SourceTree)
+    return spark.readStream.format("source_tree").option("extensions", ",".join(extensions)).option("lag", str(lag)).load(str(root))
+
 
 def read_tree(spark: SparkSession, root: str, extensions: list[str], include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
     spark.dataSource.register(SourceTree)

@@ -114,7 +114,7 @@ def test_prose_drift(spark, project, tmp_path, capsys):
     engine.store.overwrite("facts/p", spark.createDataFrame([("sky|colour", "sky", "colour", "blue", "s1", 2, True), ("sea|colour", "sea", "colour", "grey", "s2", 1, True), ("old|x", "old", "x", "y", "s0", 1, False)], engine_facts))
     import larkspur.operators.drift as d
 
-    least, d.scan.__defaults__ = d.scan.__defaults__, (0.2, "")
+    least, d.scan.__defaults__ = d.scan.__defaults__, (0.2, *d.scan.__defaults__[1:])
     try:
         for calls in (2, 0):
             found = engine.prose_drift("p")
@@ -122,6 +122,9 @@ def test_prose_drift(spark, project, tmp_path, capsys):
             assert rows == {("sky", "exact"): ("green", "blue", "docs/claims.md"), ("the sky", "semantic"): ("blue", "blue", "docs/claims.md")}
             c = found.counters.first()
             assert (c.facts_scanned, c.docs_scanned, c.judge_calls, c.cap_hit) == (2, 3, calls, False)
+            # three texts and two pairs, once each, with tokens and without a price
+            assert sorted(r.usd for r in engine.ledger.log().filter("input_tokens > 0").collect()) == [0.0] * 5 and engine.ledger.left() == 495
+        assert engine.store.read("doc_facts/p", "file_path string, subject string").count() == 4
     finally:
         d.scan.__defaults__ = least
     assert cli.prose_drift(engine, "p", 1) == 1 and cli.prose_drift(engine, "q", 1) == 2
@@ -195,11 +198,3 @@ def test_stream_of_files(spark, tmp_path):
     spark.createDataFrame([("a", "new")], schema).coalesce(1).write.mode("append").json(str(source))
     run()
     assert sorted((r.file_path, r.chunk) for r in store.read("chunks", live.CHUNKS).collect()) == [("a", "new"), ("b", "three")]
-
-
-def test_stream_of_facts(spark, tmp_path):
-    schema = "chain_key string, object string, valid_from long"
-    spark.createDataFrame([("c", "x", 1), ("c", "x", 2), ("c", "y", 3), ("d", "z", 1)], schema).write.json(str(tmp_path / "in"))
-    q = live.fold_facts(spark.readStream.schema(schema).json(str(tmp_path / "in"))).writeStream.format("memory").queryName("folded").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "check")).start()
-    q.awaitTermination()
-    assert sorted((r.chain_key, r.valid_from, r.action, r.version) for r in spark.table("folded").collect()) == [("c", 1, "INSERT", 1), ("c", 2, "NOOP", 1), ("c", 3, "SUPERSEDE", 2), ("d", 1, "INSERT", 1)]
