@@ -33,8 +33,13 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_every_query_but_the_bootstrap_has_sql():
-    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"bootstrap_ci"}
+def test_every_query_has_sql_but_two():
+    assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"bootstrap_ci", "vector_index_recall"}
+
+
+def test_half_of_the_cells_have_most_neighbours(spark):
+    (row,) = catalogue.queries()["vector_index_recall"](spark, SF).collect()
+    assert 0.9 <= row.recall <= 1
 
 
 def test_whole_packing_does_not_cut_long_texts(spark, tmp_path):
