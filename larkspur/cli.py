@@ -111,7 +111,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(f"{place} was not pruned: {error}", file=sys.stderr)
     elif given.command == "search":
         for r in engine.search([given.query], given.n, given.project, given.collection, given.path).withColumn("text", shown(F.col("text"))).collect():  # n rows
-            print(f"[{r['rank']}] {r['project']} {r['file_path']}\n{r['text']}\n")
+            near = "" if r["distance"] is None else f" (distance: {r['distance']:.4f})"
+            print(f"[{r['rank']}] {r['project']} {r['file_path']}{near}\n{r['text']}\n")
     elif given.command == "status":
         for r in engine.status().orderBy("project", "kind").collect():  # a few rows for each project
             print(r["project"] or "all", r["kind"] or "all", r["n"])

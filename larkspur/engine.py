@@ -192,7 +192,7 @@ class Engine:
             fresh.unpersist()
 
     def search(self, queries: list[str], n: int = 5, project: str | None = None, kind: str | None = None, path_filter: str | None = None) -> DataFrame:
-        """(query_id, rank, id, score, project, kind, file_path, text). An unknown project means all of them.
+        """(query_id, rank, id, score, distance, project, kind, file_path, version_id, text). An unknown project means all of them.
 
         Targets go in the order of the config. One whose vectors are of another model is searched by keywords alone.
         """
@@ -203,7 +203,7 @@ class Engine:
         got = self.queries.embed(providers.provider(self.config.embed_provider), queries, self.model)
         asked = self.spark.createDataFrame([(k, q, [float(x) for x in v]) for k, (q, v) in enumerate(zip(queries, got, strict=True))], "query_id long, text string, embedding array<double>")
         if not targets:
-            return self.spark.createDataFrame([], "query_id long, rank int, id string, score double, project string, kind string, file_path string, text string")
+            return self.spark.createDataFrame([], "query_id long, rank int, id string, score double, distance double, project string, kind string, file_path string, version_id string, text string")
         sided = upkeep.model_interlock(self.spark.createDataFrame(targets, "project string, kind string, collection string"), self.store.read("markers", MARKERS), self.model)
         usable = {r["collection"]: r["vector_side"] for r in sided.collect()}  # one row for each target
         vectors, frames = self._vectors().select("content_hash", "embedding"), []
@@ -212,7 +212,12 @@ class Engine:
             rows = rows.join(vectors, "content_hash", "left") if usable[place] else rows.withColumn("embedding", F.lit(None).cast("array<float>"))
             frames.append(rows.select(whole, "text", "embedding", F.col("file_path").alias("path")))
         hits = search.search(frames, asked, n, path_filter=path_filter)
-        return hits.join(chunks.select(whole, "project", "kind", "file_path", "text"), "id").orderBy("query_id", "rank")
+        return hits.join(chunks.select(whole, "project", "kind", "file_path", "version_id", "text"), "id").orderBy("query_id", "rank")
+
+    def result_texts(self, hits: DataFrame, longest: int = 2000) -> DataFrame:
+        """(query_id, rank, shown): the hits of search() as blocks of text for a reader."""
+        collection = F.concat_ws("-", "project", "kind")
+        return hits.select("query_id", "rank", text.result_text(F.col("rank"), F.col("project"), collection, F.col("file_path"), F.col("distance"), F.col("version_id"), F.col("text"), longest).alias("shown"))
 
     def status(self) -> DataFrame:
         return index.status(self._all("chunks", CHUNKS))

@@ -33,8 +33,9 @@ def tokens(text: Column) -> Column:
 
 
 def _folding() -> tuple[str, str]:
-    """Accented letters of Latin, Greek and Cyrillic, and what they are without accent."""
-    pairs = [(chr(c), d[0]) for c in range(0xC0, 0x530) if len(d := unicodedata.normalize("NFD", chr(c))) > 1]
+    """Letters of U+00C0 to U+1FFF that are another letter with accents, and that letter."""
+    whole = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2000)]
+    pairs = [(c, d[0]) for c, d in whole if len(d) > 1 and all(map(unicodedata.combining, d[1:])) and d[0].isalpha()]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -93,3 +94,10 @@ def verdict(reply: Column) -> Column:
 
 def shown(text: Column, longest: int = 1000) -> Column:
     return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest), F.lit("\n... [truncated]"))).otherwise(text)
+
+
+def result_text(rank: Column, project: Column, collection: Column, path: Column, distance: Column, version: Column, text: Column, longest: int = 2000) -> Column:
+    """A hit as a block of text: a line with its place, collection, file, distance (if a vector was met) and freshness, then its text, cut."""
+    near = F.when(distance.isNotNull(), F.format_string(" (distance: %.4f)", distance)).otherwise("")
+    known = F.concat(F.lit("--- Result "), rank.cast("string"), F.lit(" ["), F.coalesce(project, F.lit("?")), F.lit(":"), F.coalesce(collection, F.lit("?")), F.lit("] "), F.coalesce(path, F.lit("?")))
+    return F.concat(known, near, F.lit(" ["), freshness_tag(version), F.lit("] ---\n"), shown(text, longest))

@@ -32,35 +32,37 @@ MOST_HITS = 1_000_000
 
 
 def _ranked(hits: pd.DataFrame, most: int) -> list[tuple]:
-    """(id, lines, score) of one query in order, from the `most` best of each target's lists: fused, or by distance where no keyword was met."""
+    """(id, lines, score, distance) of one query in order, from the `most` best of each target's lists: fused, or by distance where no keyword was met."""
     lists = []
     for k in (0, 1):
         mine = hits[(hits["list"] == k) & (hits["target_rank"] <= most)].sort_values(["target", "target_rank"], kind="stable")
         lists.append(list(zip(mine["id"], mine["distance"], mine["lines"], strict=True)))
     if not lists[1]:
         far = [(d if d else math.inf, rank, i, lines) for rank, (i, d, lines) in enumerate(lists[0])]
-        return [(i, lines, None) for _, _, i, lines in sorted(far, key=lambda x: x[:2])]
+        distances = dict((i, d) for i, d, _ in lists[0])
+        return [(i, lines, None, distances[i]) for _, _, i, lines in sorted(far, key=lambda x: x[:2])]
     found: dict = {}
     for k, weight in enumerate((fusion.W_VECTOR, fusion.W_KEYWORD)):
         for rank, (i, _, lines) in enumerate(lists[k], 1):
             have = found.setdefault(i, [0.0, (k, rank), lines])
             have[0] += weight / (fusion.K + rank)
+    distances = {i: d for i, d, _ in reversed(lists[0])}
     scored = [(-round(score, fusion.PLACES), seen, i, lines) for i, (score, seen, lines) in found.items()]
-    return [(i, lines, -score) for score, _, i, lines in sorted(scored, key=lambda x: x[:3])]
+    return [(i, lines, -score, distances.get(i)) for score, _, i, lines in sorted(scored, key=lambda x: x[:3])]
 
 
 def _kept(ranked: list[tuple], threshold: float) -> list[tuple]:
-    """(id, score) without those that share more than threshold of their lines with one before them that is kept."""
+    """(id, score, distance) without those that share more than threshold of their lines with one before them that is kept."""
     kept: list[tuple] = []
-    for i, lines, score in ranked:
+    for i, lines, score, distance in ranked:
         own = None if lines is None else set(lines)
-        if not any(own is not None and other is not None and len(own & other) / len(own | other) > threshold for _, _, other in kept):
-            kept.append((i, score, own))
-    return [(i, score) for i, score, _ in kept]
+        if not any(own is not None and other is not None and len(own & other) / len(own | other) > threshold for _, _, _, other in kept):
+            kept.append((i, score, distance, own))
+    return [k[:3] for k in kept]
 
 
 def search(targets: list[DataFrame], queries: DataFrame, n: int = 5, threshold: float = fusion.SAME_LINES, path_filter: str | None = None, metric: str = "l2", keywords: list[KeywordIndex | None] | None = None) -> DataFrame:
-    """(query_id, id, score, rank) of hybrid search.
+    """(query_id, id, score, rank, distance) of hybrid search; distance is null where only a keyword was met.
 
     targets, in order: DataFrames (id, text, embedding, path); keywords: their stored keyword indexes, None where a target has
     none and its texts are to be cut for the search. queries: query_id, text, embedding. Each list gives 2 n
@@ -86,7 +88,7 @@ def search(targets: list[DataFrame], queries: DataFrame, n: int = 5, threshold:
         if len(kept) < n:
             kept = _kept(_ranked(frame, 3 * n), threshold)
         kept = kept[:n]
-        return pd.DataFrame({"query_id": frame["query_id"].iloc[0], "id": [i for i, _ in kept], "score": pd.Series([s for _, s in kept], dtype=float), "rank": range(1, len(kept) + 1)})
+        return pd.DataFrame({"query_id": frame["query_id"].iloc[0], "id": [k[0] for k in kept], "score": pd.Series([k[1] for k in kept], dtype=float), "rank": range(1, len(kept) + 1), "distance": pd.Series([k[2] for k in kept], dtype=float)})
 
     kinds = {c: met.schema[c].dataType.simpleString() for c in ("query_id", "id")}
-    return met.groupBy("query_id").applyInPandas(answer, f"query_id {kinds['query_id']}, id {kinds['id']}, score double, rank int")
+    return met.groupBy("query_id").applyInPandas(answer, f"query_id {kinds['query_id']}, id {kinds['id']}, score double, rank int, distance double")

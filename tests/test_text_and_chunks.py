@@ -130,6 +130,17 @@ def test_folding_is_that_of_unicode():
     assert all(unicodedata.normalize("NFD", x)[0] == y for x, y in zip(a, b, strict=True)) and re.search("é", a)
 
 
+def test_folding_goes_beyond_cyrillic(spark):
+    got = spark.createDataFrame([("ệ Ḃ ᾳ é ø 日本 _",)], "t string").select(text.terms(F.col("t")).alias("t")).first().t
+    assert got == ["e", "b", "α", "e", "ø", "日本"]
+
+
+def test_hits_as_blocks_of_text(spark):
+    rows = spark.createDataFrame([(1, "p", "p-docs", "a.md", 0.12345678, "a" * 40, "x" * 2001), (2, None, None, None, None, None, "short")], "rank int, project string, collection string, path string, distance double, version string, text string")
+    got = [r.s for r in rows.select(text.result_text(*[F.col(c) for c in rows.columns]).alias("s")).collect()]
+    assert got == ["--- Result 1 [p:p-docs] a.md (distance: 0.1235) [v:aaaaaaaa] ---\n" + "x" * 2000 + "\n... [truncated]", "--- Result 2 [?:?] ? [v:unknown] ---\nshort"]
+
+
 STRINGS = {
     ".cs": [
         'string s = """\n  { not "" code {{ \n   """;',
