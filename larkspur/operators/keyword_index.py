@@ -3,13 +3,14 @@ large searches read and score only the blocks that can reach the n best.
 
 Tables of a Store, {name}/...:
 
-    documents   id, path, dl, terms and change: what a change has added, by id
+    documents   id, path, dl, terms and change: what a change has added
     dead        id, change, by_change: versions of documents that a later change has replaced or deleted
     postings    term, block, change, most, least, docs, rows: one block's documents with the term; by term
     totals      term, df, change and n, dl (of the null term): what each change adds to counts, by term
     changes     change: what counts. A change that stopped before it stands here is not seen by any reader.
 
-A change only appends, so that an upsert or a delete costs what it brings, not what is stored; counts are sums of what the
+A block is of documents that one task has cut, so that its postings are complete in that task, and what is shuffled is
+blocks on their way to the bucket of their term. A change only appends, so that an upsert or a delete costs what it brings, not what is stored; counts are sums of what the
 changes added. Scores are those of `bm25.search` over the live documents, bit for bit before rounding.
 """
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,11 +48,11 @@ class KeywordIndex:
 
     def __init__(self, store: Store, name: str, id_kind: str = "long"):
         self.store, self.name = store, name
-        self.documents = f"id {id_kind}, path string, dl long, terms array<struct<term:string,tf:long>>, block int, change string"
+        self.documents = f"id {id_kind}, path string, dl long, terms array<struct<term:string,tf:long>>, change string"
         self.dead = f"id {id_kind}, change string, by_change string"
-        self.postings = f"term string, block int, change string, most long, least long, docs int, rows array<struct<id:{id_kind},path:string,tf:long,dl:long>>"
+        self.postings = f"term string, block long, change string, most long, least long, docs int, rows array<struct<id:{id_kind},tf:long,dl:long>>"
         self.totals = "term string, df long, n long, dl long, change string"
-        self.changes = "change string, blocks int"
+        self.changes = "change string"
 
     def _counted(self) -> list[str]:
         """Changes that count; `build` makes one of many."""
@@ -72,37 +74,34 @@ class KeywordIndex:
 
     def build(self, docs: DataFrame) -> None:
         """docs in place of whatever was there."""
-        n = docs.count()
-        change, blocks = uuid.uuid4().hex, max(1, -(-n // BLOCK))
+        change = uuid.uuid4().hex
         for table in ("changes", "documents", "dead", "postings", "totals"):
             if self.store.snapshot(f"{self.name}/{table}") is not None:
                 self.store.overwrite(f"{self.name}/{table}", self.store.spark.createDataFrame([], getattr(self, table)), self._by(table))
-        self._add(docs, change, blocks)
-        self._settle(change, blocks, self.store.state(f"{self.name}/changes"))
+        self._add(docs, change)
+        self._settle(change, self.store.state(f"{self.name}/changes"))
 
     @staticmethod
     def _by(table: str) -> list[str]:
-        return {"documents": ["id"], "dead": ["id"], "postings": ["term"], "totals": ["term"], "changes": []}[table]
+        return {"documents": [], "dead": ["id"], "postings": ["term"], "totals": ["term"], "changes": []}[table]
 
     def _append(self, table: str, rows: DataFrame) -> None:
         self.store.append(f"{self.name}/{table}", getattr(self, table), rows, self._by(table))
 
-    def _settle(self, change: str, blocks: int, seen) -> None:
+    def _settle(self, change: str, seen) -> None:
         """Makes the change count, unless another one came after what was seen."""
-        row = self.store.spark.createDataFrame([(change, blocks)], self.changes)
+        row = self.store.spark.createDataFrame([(change,)], self.changes)
         self.store.append(f"{self.name}/changes", self.changes, row, [], after=seen.number if seen else 0)
 
-    def _add(self, docs: DataFrame, change: str, blocks: int) -> None:
+    def _add(self, docs: DataFrame, change: str) -> None:
         tasks = self.store.spark.sparkContext.defaultParallelism
         # a file of one row group would be one task; larger inputs stay where they are
         docs = docs.repartition(tasks) if docs.rdd.getNumPartitions() < tasks else docs
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-        cut = docs.filter("id IS NOT NULL").select("id", "path", terms(F.col("text")).alias("ts"), block.alias("block"))
-        self._append("documents", _counts(cut, self.documents.rpartition(", ")[0]).withColumn("change", F.lit(change)))
+        cut = docs.filter("id IS NOT NULL").select("id", "path", terms(F.col("text")).alias("ts"))
+        self._append("documents", cut.mapInArrow(_counts, self.documents.rpartition(", ")[0]).withColumn("change", F.lit(change)))
         own = self.store.read(f"{self.name}/documents", self.documents).filter(F.col("change") == change)
-        rows = own.select("id", "path", "dl", "block", F.explode("terms").alias("t")).select("id", "path", "dl", "block", "t.*")
-        blocked = rows.groupBy("term", "block").agg(F.max("tf").alias("most"), F.min("dl").alias("least"), F.count("*").cast("int").alias("docs"), F.collect_list(F.struct("id", "path", "tf", "dl")).alias("rows"))
-        self._append("postings", blocked.select("term", "block", F.lit(change).alias("change"), "most", "least", "docs", "rows"))
+        blocked = own.select("id", "dl", "terms").mapInArrow(_blocks, self.postings.replace("change string, ", ""))
+        self._append("postings", blocked.withColumn("change", F.lit(change)).select(*[c.split()[0] for c in self.postings.split(", ")]))
         stored = self.store.read(f"{self.name}/postings", self.postings).filter(F.col("change") == change)
         self._total(stored.groupBy("term").agg(F.sum("docs").alias("df")), own, change, 1)
 
@@ -115,7 +114,6 @@ class KeywordIndex:
     def _change(self, gone: DataFrame, new: DataFrame | None) -> None:
         for _ in range(TRIES):
             seen, change = self.store.state(f"{self.name}/changes"), uuid.uuid4().hex
-            blocks = max(r["blocks"] for r in self.store.read(f"{self.name}/changes", self.changes).collect())  # a row for each change
             counted = self._counted()
             old = self._live(self._read("documents", counted).join(gone.select("id").distinct(), "id", "left_semi"), counted)
             self._append("dead", old.select("id", "change", F.lit(change).alias("by_change")))
@@ -123,9 +121,9 @@ class KeywordIndex:
             left = self.store.read(f"{self.name}/documents", self.documents).join(dead, ["id", "change"], "left_semi")
             self._total(left.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")), left, change, -1)
             if new is not None:
-                self._add(new, change, blocks)
+                self._add(new, change)
             try:
-                self._settle(change, blocks, seen)
+                self._settle(change, seen)
             except Conflict:
                 continue
             return
@@ -185,9 +183,10 @@ class KeywordIndex:
         def scored(blocks: DataFrame | None) -> DataFrame:
             met = stored.join(weights, on)
             met = met if blocks is None else met.join(blocks.select("query_id", "block"), ["query_id", "block"])
-            hits = met.select("query_id", "change", "weight", "avgdl", F.explode("rows").alias("r")).select("query_id", "change", "weight", "avgdl", *[f"r.{c}" for c in (["id", "tf", "dl"] if path_filter is None else ["id", "tf", "dl", "path"])])
+            hits = met.select("query_id", "change", "weight", "avgdl", F.explode("rows").alias("r")).select("query_id", "change", "weight", "avgdl", "r.*")
             if path_filter is not None:
-                hits = hits.filter(bm25.path_matches(F.col("path"), path_filter, like))
+                allowed = self._read("documents", counted).filter(bm25.path_matches(F.col("path"), path_filter, like)).select("id", "change")
+                hits = hits.join(allowed, ["id", "change"], "left_semi")
             return self._live(hits, counted).groupBy("query_id", "id").agg(F.round(F.sum(part(F.col("tf"), F.col("dl"))), bm25.PLACES).alias("score"))
 
         if stored.select(*on, "docs").join(weights, on).agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0] <= whole:
@@ -202,20 +201,40 @@ class KeywordIndex:
         return bm25.top(best.drop("rank").union(scored(rest)), n)
 
 
-def _counts(cut: DataFrame, schema: str) -> DataFrame:
-    """Documents (id, path, ts, block) with their length and the number of times that each term stands in them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
-        for batch in batches:
-            lists = batch.column(2)
-            offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.dictionary_encode()
-            codes, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
-            of = np.repeat(np.arange(len(lists)), np.diff(offsets))
-            pairs, tf = np.unique(of * max(1, len(names)) + codes[offsets[0] : offsets[-1]], return_counts=True)
-            row, code = np.divmod(pairs, max(1, len(names)))
-            made = pa.StructArray.from_arrays([names.take(pa.array(code)).cast(pa.string()), pa.array(tf, pa.int64())], ["term", "tf"])
-            ends = np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(ends), made).cast(kind), batch.column(3)], ["id", "path", "dl", "terms", "block"])
-
-    return cut.mapInArrow(run, schema)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (id, path, ts) with their length and the number of times that each term stands in them."""
+    for batch in batches:
+        lists = batch.column(2)
+        offsets, flat = lists.offsets.to_numpy().astype(np.int64), lists.values.dictionary_encode()
+        codes, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+        of = np.repeat(np.arange(len(lists)), np.diff(offsets))
+        pairs, tf = np.unique(of * max(1, len(names)) + codes[offsets[0] : offsets[-1]], return_counts=True)
+        row, code = np.divmod(pairs, max(1, len(names)))
+        made = pa.StructArray.from_arrays([names.take(pa.array(code)).cast(pa.string()), pa.array(tf, pa.int64())], ["term", "tf"])
+        ends = np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(ends), made)], ["id", "path", "dl", "terms"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of every BLOCK documents (id, dl, terms) of a task: a row for each term of a block."""
+    block = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for low in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(low, BLOCK)
+            lists, block = part.column(2), block + 1
+            offsets = lists.offsets.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), np.diff(offsets))
+            if not len(row):
+                continue
+            flat = lists.values.slice(int(offsets[0]), len(row))
+            coded = flat.field("term").dictionary_encode()
+            code, tf = coded.indices.to_numpy().astype(np.int64), flat.field("tf").to_numpy(zero_copy_only=False)
+            dl = part.column(1).to_numpy(zero_copy_only=False)[row]
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            ends = np.append(starts, len(order)).astype(np.int32)
+            rows = pa.StructArray.from_arrays([part.column(0).take(pa.array(row[order])), pa.array(tf[order], pa.int64()), pa.array(dl[order], pa.int64())], ["id", "tf", "dl"])
+            yield pa.RecordBatch.from_arrays([
+                coded.dictionary.take(pa.array(code[order][starts])).cast(pa.string()), pa.array(np.full(len(starts), block)), pa.array(np.maximum.reduceat(tf[order], starts), pa.int64()), pa.array(np.minimum.reduceat(dl[order], starts), pa.int64()),
+                pa.array(np.diff(ends).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), rows),
+            ], ["term", "block", "most", "least", "docs", "rows"])

@@ -110,8 +110,9 @@ class Store:
         """Files of a new version of the buckets that df has rows of. No commit names them yet."""
         version = uuid.uuid4().hex
         staged = f"{self.root}/{name}/staged-{version}"
-        # one file for each bucket, more where adaptive execution finds it large
-        df.withColumn(BUCKET, self.bucket(by, buckets)).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(staged)
+        rows = df.withColumn(BUCKET, self.bucket(by, buckets))
+        # one file for each bucket, more where adaptive execution finds it large; without a key, files are those of the tasks
+        (rows.hint("rebalance", BUCKET) if by else rows).write.partitionBy(BUCKET).parquet(staged)
         fs, top = self._fs(staged)
         made = {}
         for folder in self._named(staged):
