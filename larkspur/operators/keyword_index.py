@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from larkspur.operators import bm25
 from larkspur.sources.shared import shared_dir
 from larkspur.sources.store import Conflict, Store
 
-#: Documents of a block, about.
-BLOCK = 128
+#: Documents of a block at most. Small blocks have closer bounds, large ones fewer rows with a term each.
+BLOCK = 1024
 #: Blocks of a query that are scored first, to learn what score its n-th hit has at least.
 FIRST = 8
 #: Postings of all queries' terms up to which a search scores them all at once: bounds would cost more than they save.
@@ -46,8 +47,8 @@ SLACK = 1e-7
 class KeywordIndex:
     """The index at {name} of a store, over documents (id, text, path). An id stands for one document."""
 
-    def __init__(self, store: Store, name: str, id_kind: str = "long"):
-        self.store, self.name = store, name
+    def __init__(self, store: Store, name: str, id_kind: str = "long", block: int = BLOCK):
+        self.store, self.name, self.block = store, name, block
         self.documents = f"id {id_kind}, path string, dl long, terms array<struct<term:string,tf:long>>, change string"
         self.dead = f"id {id_kind}, change string, by_change string"
         self.postings = f"term string, block long, change string, most long, least long, docs int, rows array<struct<id:{id_kind},tf:long,dl:long>>"
@@ -74,7 +75,7 @@ class KeywordIndex:
 
     def build(self, docs: DataFrame) -> None:
         """docs in place of whatever was there."""
-        change = uuid.uuid4().hex
+        change = _named()
         for table in ("changes", "documents", "dead", "postings", "totals"):
             if self.store.snapshot(f"{self.name}/{table}") is not None:
                 self.store.overwrite(f"{self.name}/{table}", self.store.spark.createDataFrame([], getattr(self, table)), self._by(table))
@@ -100,7 +101,7 @@ class KeywordIndex:
         cut = docs.filter("id IS NOT NULL").select("id", "path", terms(F.col("text")).alias("ts"))
         self._append("documents", cut.mapInArrow(_counts, self.documents.rpartition(", ")[0]).withColumn("change", F.lit(change)))
         own = self.store.read(f"{self.name}/documents", self.documents).filter(F.col("change") == change)
-        blocked = own.select("id", "dl", "terms").mapInArrow(_blocks, self.postings.replace("change string, ", ""))
+        blocked = own.select("id", "dl", "terms").mapInArrow(partial(_blocks, size=self.block), self.postings.replace("change string, ", ""))
         self._append("postings", blocked.withColumn("change", F.lit(change)).select(*[c.split()[0] for c in self.postings.split(", ")]))
         stored = self.store.read(f"{self.name}/postings", self.postings).filter(F.col("change") == change)
         self._total(stored.groupBy("term").agg(F.sum("docs").alias("df")), own, change, 1)
@@ -113,7 +114,7 @@ class KeywordIndex:
 
     def _change(self, gone: DataFrame, new: DataFrame | None) -> None:
         for _ in range(TRIES):
-            seen, change = self.store.state(f"{self.name}/changes"), uuid.uuid4().hex
+            seen, change = self.store.state(f"{self.name}/changes"), _named()
             counted = self._counted()
             old = self._live(self._read("documents", counted).join(gone.select("id").distinct(), "id", "left_semi"), counted)
             self._append("dead", old.select("id", "change", F.lit(change).alias("by_change")))
@@ -201,6 +202,11 @@ class KeywordIndex:
         return bm25.top(best.drop("rank").union(scored(rest)), n)
 
 
+def _named() -> str:
+    """A change's name, short as every row has it."""
+    return uuid.uuid4().hex[:12]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents (id, path, ts) with their length and the number of times that each term stands in them."""
     for batch in batches:
@@ -215,12 +221,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(ends), made)], ["id", "path", "dl", "terms"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of every BLOCK documents (id, dl, terms) of a task: a row for each term of a block."""
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Postings of every `size` documents (id, dl, terms) of a task: a row for each term of a block."""
     block = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for low in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(low, BLOCK)
+        for low in range(0, batch.num_rows, size):
+            part = batch.slice(low, size)
             lists, block = part.column(2), block + 1
             offsets = lists.offsets.to_numpy().astype(np.int64)
             row = np.repeat(np.arange(len(lists)), np.diff(offsets))
