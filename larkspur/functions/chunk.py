@@ -236,7 +236,7 @@ def declaration_chunks(text: str, extension: str, most: int = MOST_DECLARATION_L
 
 @udtf(returnType="chunk_index int, start_line int, end_line int, chunk string")
 class DeclarationChunks:
-    """Table function over (text, extension)."""
+    """Table function over (text, extension) and the lines from which a declaration is cut into windows."""
 
-    def eval(self, text: str, extension: str):
-        yield from declaration_chunks(text or "", extension or "")
+    def eval(self, text: str, extension: str, most: int = MOST_DECLARATION_LINES):
+        yield from declaration_chunks(text or "", extension or "", most)

@@ -53,3 +53,12 @@ def test_whole_drift_has_facts_of_every_label(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = catalogue.queries()["drift_semantic_whole"](spark, str(tmp_path)).collect()
     assert [(r.claim_id, r.chain_key, r.similarity) for r in got] == [(100, 1, 0.995)]
+
+
+def test_declarations_of_long_documents_are_not_cut(spark, tmp_path):
+    spark.createDataFrame([(1, "line\n" * 900), (2, "short"), (3, "a b\n" * 480)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.queries()["declaration_strings"](spark, str(tmp_path)).collect()
+    own = duckdb.connect()
+    own.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = own.sql(f"SELECT doc_id, chunk_index, start_line, end_line, digest FROM ({catalogue.oracle_sql()['declaration_strings']})").fetchall()
+    assert len(got) == 6 and sorted(tuple(r) for r in got) == sorted(want)
