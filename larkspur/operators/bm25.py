@@ -70,13 +70,21 @@ OKAPI_K1, OKAPI_B, OKAPI_FLOOR = 1.5, 0.75, 0.25
 OKAPI_PLACES = 6
 
 
+def okapi_raw(n: Column, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
+
+
+def okapi_idf(raw: Column, mean: Column) -> Column:
+    return F.when(raw < 0, OKAPI_FLOOR * mean).otherwise(raw)
+
+
 def okapi_scores(docs: DataFrame, queries: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
     """(query_id, id, score) above 0 by BM25 Okapi, whose idf is that of the whole vocabulary: below 0 a share of the mean idf."""
     post = docs.select(F.col(id_).alias("id"), terms(F.col(text)).alias("ts")).select("id", F.size("ts").cast("long").alias("dl"), F.explode("ts").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     stats = F.broadcast(corpus_stats(doc_lengths(docs, id_, text)))  # one row
-    raw = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    raw = post.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats).withColumn("raw", okapi_raw(F.col("n_docs"), F.col("df")))
     mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
-    weight = raw.crossJoin(mean).select("term", "avgdl", F.when(F.col("raw") < 0, OKAPI_FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    weight = raw.crossJoin(mean).select("term", "avgdl", okapi_idf(F.col("raw"), F.col("mean")).alias("idf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (OKAPI_K1 + 1) / (F.col("tf") + OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("dl") / F.col("avgdl")))
     scored = query_terms(queries).join(weight, "term").join(post, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), OKAPI_PLACES).alias("score"))
     return scored.filter(F.col("score") > 0)

@@ -112,7 +112,8 @@ class Store:
         staged = f"{self.root}/{name}/staged-{version}"
         rows = df.withColumn(BUCKET, self.bucket(by, buckets))
         # one file for each bucket, more where adaptive execution finds it large; without a key, files are those of the tasks
-        (rows.hint("rebalance", BUCKET) if by else rows).write.partitionBy(BUCKET).parquet(staged)
+        # and the codec of Parquet files by default takes memory outside the heap for every file, this one does not
+        (rows.hint("rebalance", BUCKET) if by else rows).write.option("compression", "zstd").partitionBy(BUCKET).parquet(staged)
         fs, top = self._fs(staged)
         made = {}
         for folder in self._named(staged):
