@@ -45,3 +45,11 @@ def test_prices_by_the_longest_prefix(spark):
     assert {r.usd for r in metering.priced(calls, prices.limit(0)).collect()} == {0.0}
     anything = metering.priced(calls, spark.createDataFrame([("", 1.0, 1.0)], "prefix string, usd_in double, usd_out double"))
     assert {r.call_id for r in anything.filter("usd > 0").collect()} == {1, 2, 3}
+
+
+def test_prices_are_met_without_a_shuffle_of_calls(spark):
+    calls = spark.range(1000).select(F.col("id").alias("call_id"), F.lit("view-v1").alias("model"), F.lit(1_000_000).cast("long").alias("input_tokens"), F.lit(0).cast("long").alias("output_tokens"))
+    prices = spark.createDataFrame([("", 1.0, 1.0), ("view", 2.0, 1.0), ("view-v", 3.0, 1.0), ("view-v2", 9.0, 9.0)], "prefix string, usd_in double, usd_out double")
+    got = metering.priced(calls, prices)
+    assert "call_id" not in "".join(line for line in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line)
+    assert got.groupBy("usd").count().collect() == [(3.0, 1000)]
