@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.paths import prefixes_of
+from larkspur.sources.batches import small_batches
 
 BATCH_TOKENS, BATCH_ITEMS = 80_000, 128
 
@@ -130,12 +131,13 @@ def calibrated(batches: DataFrame, group: str, order: str) -> DataFrame:
     return batches.groupBy(group).agg(rows.alias("rows")).select(group, fold.alias("ratio"))
 
 
-def packed(chunks: DataFrame, group: str, order: list[str], text: str = "text", most_tokens: int = BATCH_TOKENS, most_items: int = BATCH_ITEMS) -> DataFrame:
+def packed(chunks: DataFrame, group: str, order: list[str], text: str = "text", most_tokens: int = BATCH_TOKENS, most_items: int = BATCH_ITEMS, keep_text: bool = True) -> DataFrame:
     """Adds batch and tokens: chunks of a group in order, a new batch where one would have too many tokens or items.
 
     A chunk of more tokens than a batch has room for is cut. Groups stream through sorted, so that a group of any size
-    needs the state of one batch alone.
+    needs the state of one batch alone. Without keep_text the texts are left behind before anything is shuffled.
     """
+    small_batches(chunks.sparkSession)
     longest = most_tokens * 2
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,6 +154,7 @@ def packed(chunks: DataFrame, group: str, order: list[str], text: str = "text",
             yield frame.assign(batch=pd.Series(out, dtype="int64", index=frame.index))
 
     cut = chunks.withColumn(text, F.substring(F.col(text), 1, longest)).withColumn("tokens", estimate_tokens(F.length(text)))
+    cut = cut if keep_text else cut.drop(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", batch long"
     return cut.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
 

@@ -215,3 +215,10 @@ def test_metering(spark, tmp_path):
     assert got.count() == 2 and metering.remaining(got, "2024-01-01", 2) == 1 and metering.remaining(got, "2024-01-01", 1) == 0
     metering.append_log(spark.createDataFrame([("2024-01-01", "t", "m", 1, 1, 0.12345678)], metering.RECORD), str(log))
     assert metering.read_log(spark, str(log)).filter("usd = 0.123457").count() == 1
+
+
+def test_packing_without_texts_shuffles_none(spark):
+    df = spark.createDataFrame([("s", k, "x" * (k % 7 * 90)) for k in range(60)], "g string, k int, text string")
+    whole, slim = index.packed(df, "g", ["k"], most_tokens=200), index.packed(df, "g", ["k"], most_tokens=200, keep_text=False)
+    assert sorted(whole.drop("text").collect()) == sorted(slim.collect()) and "text" not in slim.columns
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 16 << 20
