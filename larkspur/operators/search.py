@@ -61,26 +61,31 @@ def _kept(ranked: list[tuple], threshold: float) -> list[tuple]:
     return [k[:3] for k in kept]
 
 
-def search(targets: list[DataFrame], queries: DataFrame, n: int = 5, threshold: float = fusion.SAME_LINES, path_filter: str | None = None, metric: str = "l2", keywords: list[KeywordIndex | None] | None = None) -> DataFrame:
+def with_texts(hits: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """hits with the columns of texts, by id. Of `most` hits up to MOST_HITS no text is shuffled: the hits go to every task."""
+    return texts.join(F.broadcast(hits) if most <= MOST_HITS else hits, "id")
+
+
+def search(targets: list[DataFrame], queries: DataFrame, n: int = 5, threshold: float = fusion.SAME_LINES, path_filter: str | None = None, metric: str = "l2", keywords: list[KeywordIndex | None] | None = None, texts: list[DataFrame] | None = None) -> DataFrame:
     """(query_id, id, score, rank, distance) of hybrid search; distance is null where only a keyword was met.
 
     targets, in order: DataFrames (id, text, embedding, path); keywords: their stored keyword indexes, None where a target has
-    none and its texts are to be cut for the search. queries: query_id, text, embedding. Each list gives 2 n
+    none and its texts are to be cut for the search; texts: their (id, text), for targets made by a join that hits needn't
+    pass through. queries: query_id, text, embedding. Each list gives 2 n
     hits a target; a query of which fewer than n survive de-duplication takes 3 n instead. Both are cuts of the same
     3 n hits, which meet their texts once; what follows is done for one query at a time, over at most 6 n hits a target.
     Lines are compared by 64-bit hashes.
     """
-    hits = texts = None
+    hits = own = None
     for place, target in enumerate(targets):
         rows = target.filter(F.col("path").contains(path_filter)) if path_filter is not None else target
         v = vector.nearest(rows, queries, 3 * n, metric=metric).select("query_id", "id", F.lit(0).alias("list"), F.lit(place).alias("target"), F.col("rank").alias("target_rank"), "distance")
         stored = keywords[place] if keywords else None
         k = stored.search(queries, 3 * n, path_filter) if stored else bm25.search(target, queries, 3 * n, path="path", path_filter=path_filter)
         k = k.select("query_id", "id", F.lit(1).alias("list"), F.lit(place).alias("target"), F.col("rank").alias("target_rank"), F.lit(None).cast("double").alias("distance"))
-        t = target.select("id", "text")
-        hits, texts = (v.union(k), t) if texts is None else (hits.union(v).union(k), texts.union(t))
-    few = queries.count() * 6 * n * len(targets) <= MOST_HITS
-    met = texts.join(F.broadcast(hits) if few else hits, "id")
+        t = (texts[place] if texts else target).select("id", "text")
+        hits, own = (v.union(k), t) if own is None else (hits.union(v).union(k), own.union(t))
+    met = with_texts(hits, own, queries.count() * 6 * n * len(targets))
     met = met.withColumn("lines", F.array_distinct(F.transform(F.split("text", "\n"), lambda line: F.xxhash64(line)))).drop("text")
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:

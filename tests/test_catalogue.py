@@ -1,4 +1,5 @@
 import os
+import re
 
 import duckdb
 import pytest
@@ -33,6 +34,21 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("name", ["hybrid_search"])
+def test_hits_meet_their_texts_where_these_lie(spark, name):
+    """Documents too large to be broadcast stay in place: no shuffle has their texts."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)
+    try:
+        plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set(key, before)
+    moved = [part for part in plan.split("\n\n") if re.match(r"\(\d+\) Exchange\n", part.lstrip())]
+    documents = re.search(r"Scan parquet[^\n]*\nOutput \[\d+\]: \[doc_id#\d+L, (text#\d+)\]", plan)[1]
+    assert moved and not [part for part in moved if documents in part]
+
+
 def test_every_query_has_sql_but_two():
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"bootstrap_ci", "vector_index_recall"}
 
