@@ -34,7 +34,7 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["hybrid_search"])
+@pytest.mark.parametrize("name", ["greedy_dedup", "eval_cases", "eval_arms", "bootstrap_ci", "hybrid_search"])
 def test_hits_meet_their_texts_where_these_lie(spark, name):
     """Documents too large to be broadcast stay in place: no shuffle has their texts."""
     key = "spark.sql.autoBroadcastJoinThreshold"
