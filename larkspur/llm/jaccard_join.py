@@ -108,8 +108,8 @@ def _frequent(docs: DataFrame, words: int, most: int) -> tuple[np.ndarray, np.nd
         if total > most:
             break
         least = level
-    top = counts.filter(F.col("level") >= least).toPandas()  # at most `most` rows
-    shingle, n = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    top = counts.filter(F.col("level") >= least).select("shingle", "n").toArrow()  # at most `most` rows of 16 bytes
+    shingle, n = top["shingle"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(shingle)
     return shingle[order], n[order]
 

@@ -184,13 +184,12 @@ def pack(cut: DataFrame, doc: str = "doc_id", size: int = SIZE, **more) -> DataF
     """Adds sequence_id and offset to the pieces in cut, whose column length is at most size; cut is settled by the caller."""
     spark = cut.sparkSession
     salted = cut.withColumn("salt", F.pmod(F.xxhash64(doc, "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()  # at most size * SALTS rows
-    demand: Counter = Counter()
-    before: dict[tuple[int, int], int] = {}
-    for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):
-        before[r["length"], r["salt"]] = demand[r["length"]]
-        demand[r["length"]] += r["n"]
-    packing = pack_lengths(spark, dict(demand), size, **more)
+    counts = settle(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "counts")  # at most size * SALTS rows, too many for the driver
+    demand = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").collect()}  # at most size rows
+    # how many pieces of the length have smaller salts
+    smaller = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("length", "salt", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("before"))
+    packing = pack_lengths(spark, demand, size, **more)
     # places for the pieces of each length, in turn: from the how-manieth piece on, the first sequence, the offset
     steps: dict[int, list[tuple[int, int, int]]] = {}
     used: Counter = Counter()
@@ -203,14 +202,12 @@ def pack(cut: DataFrame, doc: str = "doc_id", size: int = SIZE, **more) -> DataF
             at += length
         base += n
     plan = {k: np.array(v, dtype=np.int64) for k, v in steps.items()}
-    shared = spark.sparkContext.broadcast((plan, before))
+    shared = spark.sparkContext.broadcast(plan)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, before = shared.value
+        plan = shared.value
         for batch in batches:
-            length, salt, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("length", "salt", "n"))
-            key, back = np.unique(length * SALTS + salt, return_inverse=True)
-            rank = n - 1 + np.array([before[int(k) // SALTS, int(k) % SALTS] for k in key], dtype=np.int64)[back]
+            length, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("length", "rank"))
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             for one in np.unique(length):
                 here = np.flatnonzero(length == one)
@@ -218,11 +215,11 @@ def pack(cut: DataFrame, doc: str = "doc_id", size: int = SIZE, **more) -> DataF
                 k = np.searchsorted(table[:, 0], rank[here], side="right") - 1
                 sequence[here] = table[k, 1] + rank[here] - table[k, 0]
                 offset[here] = table[k, 2]
-            keep = [c for c in batch.schema.names if c not in ("salt", "n")]
+            keep = [c for c in batch.schema.names if c != "rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
     order = Window.partitionBy("length", "salt").orderBy(doc, "piece", "ids_crc32")
-    numbered = salted.withColumn("n", F.row_number().over(order).cast("long"))
+    numbered = salted.withColumn("n", F.row_number().over(order)).join(before, ["length", "salt"]).select(*cut.columns, (F.col("n") - 1 + F.col("before")).alias("rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
     return numbered.mapInArrow(deal, schema)
 

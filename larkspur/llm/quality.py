@@ -40,6 +40,8 @@ BEGINNINGS = range(4, 8)
 #: G-squared from which a feature tells, and in how many documents it has to be: about one in 20,000 without a bearing comes so far.
 LEAST_G, LEAST_SEEN = 20.0, 3
 SOURCES, LANGUAGES = 32, 16
+#: Rows of a matrix that are made double precision at once.
+LINES = 500
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _UPPER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
@@ -66,9 +68,15 @@ def layout_of(text: str, tokens: list[str], source: str | None, lang: str | None
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 150) -> np.ndarray:
-    """Weights of a regularised logistic regression, the last one without a column; by accelerated gradient steps."""
-    a = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 150, below: np.ndarray | None = None) -> np.ndarray:
+    """Weights of a regularised logistic regression, the last one without a column; by accelerated gradient steps.
+
+    below: more rows, under those of x. The matrix is held once more, in single precision; sums over its rows are made in
+    double precision, from LINES rows at a time.
+    """
+    below = x[:0] if below is None else below
+    a = np.ones((len(x) + len(below), x.shape[1] + 1), np.float32)
+    a[: len(x), :-1], a[len(x) :, :-1] = x, below
     w = np.zeros(a.shape[1], np.float32)
     look, t = w.copy(), 1.0
     vector = np.ones(a.shape[1], np.float32)
@@ -78,7 +86,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 150) ->
     rate = 1.0 / (0.25 * np.linalg.norm(a @ vector) ** 2 + l2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ look, -30, 30)))
-        gradient = a.T @ (p - y) + l2 * np.append(look[:-1], 0)
+        gradient = l2 * np.append(look[:-1], 0) + sum(a[k : k + LINES].T @ (p - y)[k : k + LINES] for k in range(0, len(a), LINES))
         new = look - rate * gradient.astype(np.float32)
         t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         look, w, t = new + (t - 1) / t2 * (new - w), new, t2
@@ -123,8 +131,9 @@ def telling(of: Column, with_of: Column, n: int, pos: int) -> Column:
     return total
 
 
-def co_train(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights of both views and of their combination. fold: which labelled documents are kept for calibration."""
+def co_train(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, learnt: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of both views and of their combination. The labelled documents after the first `learnt` are kept for calibration."""
+    fold = slice(learnt, None)
     views = {"text": (text_x, pool_text), "meta": (meta_x, pool_meta)}
     extra: dict[str, dict[int, float]] = {"text": {}, "meta": {}}
     weights: dict[str, np.ndarray] = {}
@@ -132,7 +141,7 @@ def co_train(text_x: np.ndarray, meta_x: np.ndarray, y: np.ndarray, pool_text: n
     def fit() -> None:
         for v, (x, pool) in views.items():
             k = np.array(sorted(extra[v]), int)
-            weights[v] = logistic(np.vstack([x[~fold], pool[k]]), np.concatenate([y[~fold], [extra[v][int(i)] for i in k]]))
+            weights[v] = logistic(x[:learnt], np.concatenate([y[:learnt], [extra[v][int(i)] for i in k]]), below=pool[k])
 
     fit()
     for _ in range(rounds if len(pool_text) else 0):
@@ -234,15 +243,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
     tells = _counts(learnt).select("feature", *[v.alias(c) for c, v in g.items()]).filter((F.col("bad") >= LEAST_G) | (F.col("toxic") >= LEAST_G)).toArrow().sort_by("feature")
     names = tells["feature"].to_pylist()
     got = _features(rows, Vocabulary(names)).toArrow()  # about sample + pool small rows
-    got = got.take(np.argsort(np.array([zlib.crc32(str(i).encode()) for i in got["id"].to_pylist()]), kind="stable")).combine_chunks()
-    x = np.zeros((got.num_rows, len(names)), np.float32)
-    for row, features, values in zip(x, got["features"].to_pylist(), got["values"].to_pylist(), strict=True):
-        row[features] = values
-    layout = np.array(got["layout"].to_pylist(), np.float32).reshape(got.num_rows, LAYOUT)
-    fold = np.array(got["fold"].to_pylist(), bool)
+    got = got.take(np.lexsort((np.array([zlib.crc32(str(i).encode()) for i in got["id"].to_pylist()]), got["fold"].to_numpy()))).combine_chunks()
+    layout = got["layout"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, LAYOUT)
+    fold = got["fold"].to_numpy()
+    # the features stay a list of cells; a matrix is made of those rows and columns alone that a head learns from
+    features = got["features"].combine_chunks()
+    row, column, value = np.repeat(np.arange(got.num_rows, dtype=np.int32), features.value_lengths().to_numpy()), features.flatten().to_numpy(), got["values"].combine_chunks().flatten().to_numpy()
+
+    def matrix(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        place = np.full(len(names), -1)
+        place[columns] = np.arange(len(columns))
+        here = rows[row] & (place[column] >= 0)
+        x = np.zeros((rows.sum(), len(columns)), np.float32)
+        x[(np.cumsum(rows) - 1)[row[here]], place[column[here]]] = value[here]
+        return x
+
     heads = {}
     for name in ("bad", "toxic"):
-        y = np.array([np.nan if v is None else v for v in got[name].to_pylist()], float)
+        y = got[name].to_numpy()
         has = ~np.isnan(y)
         if len(set(y[has])) < 2 or len(set(y[has & ~fold])) < 2:
             value = -30.0 if not has.any() or y[has].mean() < 0.5 else 30.0
@@ -250,8 +268,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
             continue
         mine = np.flatnonzero(tells[name].to_numpy() >= LEAST_G)
         # of features in the same documents one is enough
-        mine = mine[np.unique(np.random.default_rng(7).random(len(x)) @ x[:, mine], return_index=True)[1]]
-        text_w, meta_w, combined = co_train(x[has][:, mine], layout[has], y[has], x[~has][:, mine], layout[~has], fold[has])
+        mine = mine[np.unique(np.bincount(column, np.random.default_rng(7).random(len(y))[row] * value, len(names))[mine], return_index=True)[1]]
+        text_w, meta_w, combined = co_train(matrix(has, mine), layout[has], y[has], matrix(~has, mine), layout[~has], int((has & ~fold).sum()))
         whole = np.zeros(len(names) + 1)
         whole[[*mine, -1]] = text_w
         heads[name] = Head(whole, meta_w, combined)

@@ -2,9 +2,11 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -213,6 +215,19 @@ def test_genetic_packing_beats_or_equals_best_fit(spark):
     assert packing.cost(best, 100) <= packing.cost(first, 100)
 
 
+def test_packing_sends_the_driver_one_row_for_each_length(spark, monkeypatch):
+    rows, frame = [], type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: rows.append(collect(self)) or rows[-1])
+    cut = spark.range(600).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), (F.col("id") % 3 + 30).alias("length"), F.col("id").alias("ids_crc32"))
+    got = collect(packing.pack(cut, size=100, islands=2))
+    assert max(map(len, rows)) <= 4  # three lengths; the two best packings of two islands
+    assert sorted(r.doc_id for r in got) == list(range(600)) and len({(r.sequence_id, r.offset) for r in got}) == 600
+    for s in {r.sequence_id for r in got}:
+        own = sorted((r for r in got if r.sequence_id == s), key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and sum(r.length for r in own) <= 100
+
+
 def test_token_counts_are_those_of_word_pieces(spark):
     from tokenizers import models
 
@@ -236,6 +251,21 @@ def test_quality_on_held_out_labels(spark):
     assert share([r for r in out if r.toxic]) > 0.9 and share([r for r in out if not r.quality]) > 0.95 and share([r for r in out if r.quality and not r.toxic]) < 0.02
 
 
+def test_a_classifier_holds_its_matrix_once_more_at_most():
+    rng = np.random.default_rng(3)
+    x = (rng.random((4000, 500)) < 0.1).astype(np.float32)
+    y = (x[:, 0] + x[:, 1] > 0).astype(float)
+    tracemalloc.start()
+    try:
+        w = quality.logistic(x, y)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 2 * x.nbytes
+    assert ((quality.logit(x, w) > 0) == (y > 0)).mean() > 0.99
+    assert np.array_equal(w, quality.logistic(x[:3000], y, below=x[3000:]))
+
+
 def test_quality_edges(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(d, labels)
